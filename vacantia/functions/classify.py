@@ -21,12 +21,10 @@ def tier_score(title):
 def tier(title):
     """intern / entry / mid / senior by the sum of keyword weights in the title."""
     score = tier_score(title)
-    return (
-        F.when(score <= fixed.INTERN_AT_MOST, F.lit("intern"))
-        .when(score <= fixed.ENTRY_AT_MOST, F.lit("entry"))
-        .when(score >= fixed.SENIOR_AT_LEAST, F.lit("senior"))
-        .otherwise(F.lit("mid"))
-    )
+    # plain sums of comparisons, so that Spark computes the score once
+    steps = [score > fixed.INTERN_AT_MOST, score > fixed.ENTRY_AT_MOST, score >= fixed.SENIOR_AT_LEAST]
+    names = F.array(*[F.lit(n) for n in ("intern", "entry", "mid", "senior")])
+    return F.get(names, reduce(add, [s.cast("int") for s in steps]))
 
 
 def is_recruiter(slug):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.functions.classify import company_slug, job_id
-from vacantia.functions.text import has_any, has_phrase, strip, trim_to
+from vacantia.functions.text import alternation, has_any, has_phrase, strip, trim_to
 from vacantia.schemas import ALERT_COLUMNS
 
 
@@ -20,15 +20,12 @@ def location_verdict(location, allow_unspecified=False, word_bounded=False):
     """True where a listed location is wanted: foreign first, then the allow lists."""
     text = F.lower(strip(F.coalesce(location, F.lit(""))))
     foreign = has_phrase(text, fixed.EXCLUDED_COUNTRIES) if word_bounded else has_any(text, fixed.EXCLUDED_COUNTRIES)
-    return (
-        F.when(text.isin(fixed.BLANK_LOCATIONS), F.lit(allow_unspecified))
-        .when(foreign, F.lit(False))
-        .otherwise(
-            has_any(text, fixed.ALLOWED_LOCATIONS)
-            | text.rlike(r"(?U),\s*fl\b")
-            | text.isin(fixed.ALLOWED_BARE_LOCATIONS)
-        )
+    allowed = (
+        alternation(fixed.ALLOWED_LOCATIONS) + r"|,\s*fl\b|\A" + alternation(fixed.ALLOWED_BARE_LOCATIONS) + r"\z"
     )
+    # blank locations match no allowed pattern, so they need no test of their own
+    verdict = text.rlike("(?U)" + allowed) & ~foreign
+    return verdict | text.isin(fixed.BLANK_LOCATIONS) if allow_unspecified else verdict
 
 
 def keep_condition(phrases=None, exclusions=None, allow_unspecified=False):
