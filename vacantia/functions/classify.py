@@ -9,22 +9,38 @@ from vacantia import fixed_values as fixed
 from vacantia.functions.text import has_any, non_empty
 
 
+# every weighted pattern starts at a word boundary; a title without any of them scores 0
+_ANY_KEYWORD = r"(?U)\b(?:" + "|".join(p.removeprefix(r"\b") for p, _ in fixed.TIER_WEIGHTS) + ")"
+
+
 def tier_score(title):
-    lowered = F.lower(F.coalesce(title, F.lit("")))
-    parts = [
-        F.when(lowered.rlike("(?U)" + pattern), F.lit(weight)).otherwise(F.lit(0))
-        for pattern, weight in fixed.TIER_WEIGHTS
-    ]
-    return reduce(add, parts)
+    """Sum of the weights of the keyword patterns found in the title."""
+    def score(text):
+        found = [
+            F.when(text.rlike("(?U)" + pattern), F.lit(weight)).otherwise(F.lit(0))
+            for pattern, weight in fixed.TIER_WEIGHTS
+        ]
+        return F.when(text.rlike(_ANY_KEYWORD), reduce(add, found)).otherwise(F.lit(0))
+
+    return _bind(F.lower(F.coalesce(title, F.lit(""))), score)
 
 
 def tier(title):
     """intern / entry / mid / senior by the sum of keyword weights in the title."""
-    score = tier_score(title)
-    # plain sums of comparisons, so that Spark computes the score once
-    steps = [score > fixed.INTERN_AT_MOST, score > fixed.ENTRY_AT_MOST, score >= fixed.SENIOR_AT_LEAST]
-    names = F.array(*[F.lit(n) for n in ("intern", "entry", "mid", "senior")])
-    return F.get(names, reduce(add, [s.cast("int") for s in steps]))
+    def name(score):
+        return (
+            F.when(score <= fixed.INTERN_AT_MOST, F.lit("intern"))
+            .when(score <= fixed.ENTRY_AT_MOST, F.lit("entry"))
+            .when(score >= fixed.SENIOR_AT_LEAST, F.lit("senior"))
+            .otherwise(F.lit("mid"))
+        )
+
+    return _bind(tier_score(title), name)
+
+
+def _bind(value, body):
+    """``body(value)`` with ``value`` computed once, also where Spark inlines the column."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def is_recruiter(slug):

@@ -47,8 +47,7 @@ def normalize(col):
     """Lower case without accents and punctuation; saint, directions, ft/mt/pt unified."""
     text = strip_accents(F.coalesce(col, F.lit("")))
     text = squeeze(F.lower(F.translate(text, ".'`", "")))
-    text = F.when(text.startswith("saint "), F.concat(F.lit("st "), F.substring(text, 7, 1 << 30))).otherwise(text)
-    text = F.replace(text, F.lit(" saint "), F.lit(" st "))
+    text = F.replace(F.regexp_replace(text, "^saint ", "st "), F.lit(" saint "), F.lit(" st "))
     text = F.concat(F.lit(" "), text, F.lit(" "))
     for short, full in fixed.WORD_EXPANSIONS:
         text = F.replace(text, F.lit(f" {short} "), F.lit(f" {full} "))

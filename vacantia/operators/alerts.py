@@ -29,17 +29,22 @@ def location_verdict(location, allow_unspecified=False, word_bounded=False):
 
 
 def keep_condition(phrases=None, exclusions=None, allow_unspecified=False):
-    """Cheap presence tests first, then exclusion, inclusion and location."""
-    title = strip(F.col("title"))
+    """Wanted title, then no exclusion, then location; the most selective test comes first.
+
+    A blank title holds no wanted phrase, so it needs no test.
+    """
     return (
-        (title != "")
-        & (strip(F.col("application_url")) != "")
-        & ~title_excluded(title, exclusions)
-        & title_wanted(title, phrases)
+        title_wanted(F.col("title"), phrases)
+        & ~title_excluded(F.col("title"), exclusions)
+        & _filled("application_url")
         & location_verdict(F.col("location"), allow_unspecified)
     )
 
 
+def _filled(name):
+    return F.coalesce(F.col(name).rlike(r"(?U)\S"), F.lit(False))
+
+
 def filter_jobs(jobs, **options):
     return jobs.filter(keep_condition(**options))
 
@@ -80,7 +85,8 @@ def icims_listed_location(location, company, remote):
 def to_alert_jobs(postings, keep=()):
     """Slim postings to alert rows; rows without url, title or company are dropped."""
     empty = F.lit("")
-    rows = postings.select(
+    filled = _filled("url") & _filled("title") & _filled("company")
+    rows = postings.filter(filled).select(
         *keep,
         strip(F.col("title")).alias("title"),
         strip(F.col("company")).alias("company"),
@@ -90,7 +96,7 @@ def to_alert_jobs(postings, keep=()):
         "remote",
         F.coalesce("skill_level", empty).alias("skill_level"),
         F.coalesce("is_recruiter", F.lit(False)).alias("is_recruiter"),
-    ).filter("application_url <> '' AND title <> '' AND company <> ''")
+    )
     icims = F.col("platform_source") == "iCIMS"
     return rows.withColumns({
         "location": F.when(

@@ -26,8 +26,8 @@ def embed_verdicts(snapshots, board):
     posting = F.regexp_extract("url", r"gh_jid=(\d+)", 1)
     html = F.coalesce("html", F.lit(""))
     linked = F.regexp_extract(
-        F.regexp_extract(
-            html, F.concat(F.lit(r"(?i)boards\.greenhouse\.io/[a-z0-9][a-z0-9\-_]{2,}/jobs/"), F.col("posting_id")), 0
+        F.regexp_substr(
+            html, F.concat(F.lit(r"(?i)boards\.greenhouse\.io/[a-z0-9][a-z0-9\-_]{2,}/jobs/"), F.col("posting_id"))
         ),
         r"(?i)greenhouse\.io/([^/]+)/", 1,
     )

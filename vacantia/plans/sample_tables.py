@@ -18,9 +18,9 @@ def _q(text):
     return "'" + text.replace("'", "''") + "'"
 
 
-def _case(number, values, default="NULL"):
-    arms = " ".join(f"WHEN {i} THEN {_q(v)}" for i, v in enumerate(values))
-    return f"(CASE {number} {arms} ELSE {default} END)"
+def _case(number, values):
+    """The value at a position; a short expression however long the list is."""
+    return f"split_part({_q('|'.join(values))}, '|', CAST({number} + 1 AS INT))"
 
 
 LEVELS = ["Senior ", "Junior ", "", "Principal ", "Associate ", "Lead ", "Graduate ", "", "Sr. ",
@@ -111,7 +111,7 @@ PROBES = {
     "url": "(CASE WHEN event_id % 17 = 0 THEN '' ELSE 'https://x.example.com/' || CAST(event_id AS STRING) END)",
     "http_status": "(CASE WHEN event_type = 'error' THEN 404 WHEN event_type = 'signup' THEN 405 ELSE 200 END)",
     "get_status": "(CASE WHEN value > 20 THEN 200 ELSE 500 END)",
-    "job_count": "CAST(value AS INT) % 4",
+    "job_count": "CAST(FLOOR(value) AS INT) % 4",
     "ts": "ts",
 }
 
@@ -129,8 +129,19 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark, sf_dir, name):
+    """A table whose rows reach all cores.
+
+    The test tables are single files of one row group, which one task reads. Tables with
+    at least one split per core are left as they are, so at scale this adds no shuffle.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def postings(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr(*select_list(POSTINGS))
+    return spread_table(spark, sf_dir, "lineitem").selectExpr(*select_list(POSTINGS))
 
 
 def slim_postings(spark, sf_dir):
@@ -181,7 +192,7 @@ RAW_COLUMNS = {
 
 def raw_payloads(spark, sf_dir):
     """Landing table with bodies as the six platforms would send them."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
+    rows = spread_table(spark, sf_dir, "lineitem").selectExpr(
         *select_list(POSTINGS, ["ats", "title", "location", "url", "scraped_at"]), *select_list(RAW_COLUMNS))
     job = {
         "Greenhouse": """named_struct('jobs', array(named_struct('id', job_no, 'title', title, 'absolute_url', url, 'updated_at',
@@ -257,7 +268,7 @@ PAGES = {
 
 
 def page_rows(spark, sf_dir):
-    return table(spark, sf_dir, "pages").selectExpr(*select_list(PAGES))
+    return spread_table(spark, sf_dir, "pages").selectExpr(*select_list(PAGES))
 
 
 def snapshots(spark, sf_dir):
