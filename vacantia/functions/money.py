@@ -73,7 +73,7 @@ def parse_salary(text):
     """``$95k - $130k`` or ``$40/hr`` to struct(min, max) per year; null when unreadable."""
     cleaned = F.lower(F.trim(F.translate(text, "$,", "")))
     hourly = F.contains(cleaned, F.lit("/hr"))
-    ends = F.transform(F.split(F.split(cleaned, "/")[0], "-"), lambda x: F.trim(x))
+    ends = F.transform(F.split(F.substring_index(cleaned, "/", 1), "-"), lambda x: F.trim(x))
 
     def amount(part):
         number = F.regexp_extract(part, r"^([+]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")

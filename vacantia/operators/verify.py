@@ -32,7 +32,7 @@ def embed_verdicts(snapshots, board):
         r"(?i)greenhouse\.io/([^/]+)/", 1,
     )
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-    domain = F.split(F.regexp_replace(host, r"^(?:jobs\.|www\.|careers\.)", ""), r"\.")[0]
+    domain = F.substring_index(F.regexp_replace(host, r"^(?:jobs\.|www\.|careers\.)", ""), ".", 1)
     embedded = snapshots.withColumn("posting_id", posting).filter("posting_id <> ''")
     slugs = F.array(non_empty(F.regexp_extract(html, EMBED_SLUG, 1)), non_empty(linked), non_empty(domain))
     tries = embedded.select("url", "posting_id", F.posexplode(slugs).alias("_try", "slug")).filter("slug IS NOT NULL")

@@ -1,6 +1,7 @@
 """All registered queries; importing the query modules fills the registry."""
 
 from vacantia.plans import (  # noqa: F401
+    queries_files,
     queries_places,
     queries_postings,
     queries_runs,

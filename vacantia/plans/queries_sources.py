@@ -124,14 +124,15 @@ _HITS = R + f""", h AS (SELECT *, list_position([{", ".join(sql.quoted(t) for t
     FROM r WHERE ats = 'Workday' AND status_code = 200 AND raw_slug <> 'bad|slug' AND job_no % 59 <> 0 AND term <> 'other' AND job_no % 150 < 100)"""
 
 
-@query("s12_watched_workday_totals", _HITS + """, k AS (SELECT *, row_number() OVER (PARTITION BY raw_slug, t ORDER BY off) AS rn FROM h)
-    SELECT raw_slug AS slug, least(count(*), 400) > 0 AS any_hits FROM k WHERE rn <= 100 GROUP BY raw_slug""")
+@query("s12_watched_workday_totals", _HITS + """, k AS (SELECT *, row_number() OVER (PARTITION BY raw_slug, t ORDER BY off, path) AS rn FROM h)
+    SELECT raw_slug AS slug, count(DISTINCT path) AS hits FROM k WHERE rn <= 100 GROUP BY raw_slug""")
 def s12_totals(spark, sf):
     rows = watch_list.workday(searched(spark, sf), watched(spark, sf))
-    return rows.groupBy(c("company_slug").alias("slug")).agg((F.count("*") > 0).alias("any_hits"))
+    return rows.groupBy(c("company_slug").alias("slug")).agg(F.count("*").alias("hits"))
 
 
-@query("s12_watched_workday", _HITS + f""", u AS (SELECT *, row_number() OVER (PARTITION BY raw_slug, path ORDER BY t, off) AS rn FROM h)
+@query("s12_watched_workday", _HITS + f""", k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw_slug, t ORDER BY off, path) AS place FROM h) WHERE place <= 100),
+    u AS (SELECT *, row_number() OVER (PARTITION BY raw_slug, path ORDER BY t, off) AS rn FROM k)
     SELECT {sql.job_id("'workday'", 'raw_slug', 'path')} AS job_id, 'https://' || split_part(raw_slug, '|', 1) || '.' || split_part(raw_slug, '|', 2) || '.myworkdayjobs.com/ext' || path AS application_url
     FROM u WHERE rn = 1""")
 def s12(spark, sf):

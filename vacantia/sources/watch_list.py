@@ -82,12 +82,12 @@ def workday(raw, watched, terms=None, per_term=fixed.WORKDAY_HITS_PER_TERM):
         "slug", "name", rank.alias("_term"), "offset",
         F.posexplode(F.from_json("body", WORKDAY_BODY)["jobPostings"]).alias("_at", "job"),
     ).withColumn("path", F.coalesce("job.externalPath", F.lit("")))
-    kept = first_per_group(hits, ["slug", "_term"], ["offset", "_at"], n=per_term).filter("path <> ''")
+    kept = first_per_group(hits, ["slug", "_term"], ["offset", "_at", "path"], n=per_term).filter("path <> ''")
     once = first_per_group(kept, ["slug", "path"], ["_term", "offset", "_at"])
-    parts = F.split("slug", r"\|")
+    company, number, site = [F.get(F.split("slug", r"\|"), F.lit(i)) for i in range(3)]
     url = F.concat(
-        F.lit("https://"), parts[0], F.lit(".wd"), F.regexp_replace(parts[1], "^[wd]+", ""),
-        F.lit(".myworkdayjobs.com/"), parts[2], F.col("path"),
+        F.lit("https://"), company, F.lit(".wd"), F.regexp_replace(number, "^[wd]+", ""),
+        F.lit(".myworkdayjobs.com/"), site, F.col("path"),
     )
     return _alert_rows(
         once, "Workday", F.col("path"), F.col("job.title"), F.col("job.locationsText"), url, F.lit(None).cast("date")
