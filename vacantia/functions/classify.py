@@ -6,7 +6,7 @@ from operator import add
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
-from vacantia.functions.text import has_any, non_empty
+from vacantia.functions.text import bind, has_any, non_empty
 
 
 # every weighted pattern starts at a word boundary; a title without any of them scores 0
@@ -22,7 +22,7 @@ def tier_score(title):
         ]
         return F.when(text.rlike(_ANY_KEYWORD), reduce(add, found)).otherwise(F.lit(0))
 
-    return _bind(F.lower(F.coalesce(title, F.lit(""))), score)
+    return bind(F.lower(F.coalesce(title, F.lit(""))), score)
 
 
 def tier(title):
@@ -35,12 +35,7 @@ def tier(title):
             .otherwise(F.lit("mid"))
         )
 
-    return _bind(tier_score(title), name)
-
-
-def _bind(value, body):
-    """``body(value)`` with ``value`` computed once, also where Spark inlines the column."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return bind(tier_score(title), name)
 
 
 def is_recruiter(slug):

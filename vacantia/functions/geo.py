@@ -10,7 +10,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
-from vacantia.functions.text import alternation, has_any, lookup, non_empty, squeeze, strip
+from vacantia.functions.text import alternation, has_any, is_one_of, lookup, non_empty, squeeze, strip
 
 
 def _accent_table():
@@ -55,7 +55,7 @@ def normalize(col):
 
 
 def is_garbage(normalized):
-    return normalized.isin(fixed.GARBAGE_LOCATIONS)
+    return is_one_of(fixed.GARBAGE_LOCATIONS, normalized)
 
 
 def mentions_remote(normalized):
@@ -97,14 +97,14 @@ def split_city_state(tokens):
     """``[austin tx]`` becomes ``[austin, tx]``; anything else stays."""
     words = F.split(F.get(tokens, F.lit(0)), " ")
     last = F.element_at(words, -1)
-    splits = (F.size(tokens) == 1) & (F.size(words) >= 2) & last.isin(list(fixed.US_STATES))
+    splits = (F.size(tokens) == 1) & (F.size(words) >= 2) & is_one_of(fixed.US_STATES, last)
     city = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " ")
     return F.when(splits, F.array(city, last)).otherwise(tokens)
 
 
 def last_match(tokens, mapping):
     """Position of the right-most token found in ``mapping``; null for single tokens."""
-    spots = F.transform(tokens, lambda t, i: F.when(t.isin(list(mapping)), i))
+    spots = F.transform(tokens, lambda t, i: F.when(is_one_of(mapping, t), i))
     return F.when(F.size(tokens) > 1, F.array_max(F.filter(spots, lambda i: i.isNotNull())))
 
 

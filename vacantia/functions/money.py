@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
+from vacantia.functions.text import bind, non_empty
 
 # fixed patterns
 RANGE_A_YEAR = (
@@ -15,7 +16,7 @@ DOLLARS = r"(?i)\$\s*(\d{1,3}(?:,\d{3})*|\d+)\s*[k]?\s*(?:[-–—]\s*\$?\s*(\d{
 
 def _yearly(digits):
     value = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
-    return F.when(value < 1000, value * 1000).otherwise(value)
+    return bind(value, lambda v: F.when(v < 1000, v * 1000).otherwise(v))
 
 
 def dollars(value):
@@ -24,30 +25,25 @@ def dollars(value):
 
 def salary_label(low, high):
     """``$low – $high`` or ``$low`` when plausible as a yearly amount, else null."""
-    lo, hi = _yearly(low), _yearly(F.when(high != "", high))
-    top = F.greatest(lo, hi)
-    return F.when(
-        lo.between(fixed.SALARY_LOW, fixed.SALARY_HIGH),
-        F.when(hi.isNull(), dollars(lo)).when(
-            top <= fixed.SALARY_HIGH,
-            F.concat(dollars(F.least(lo, hi)), F.lit(" – "), dollars(top)),
-        ),
-    )
+    def label(span):
+        lo, hi = span["lo"], span["hi"]
+        return F.when(
+            lo.between(fixed.SALARY_LOW, fixed.SALARY_HIGH),
+            F.when(hi.isNull(), dollars(lo)).when(
+                F.greatest(lo, hi) <= fixed.SALARY_HIGH,
+                F.concat(dollars(F.least(lo, hi)), F.lit(" – "), dollars(F.greatest(lo, hi))),
+            ),
+        )
 
-
-def _near_label(text, lowered, label):
-    """The text around the first occurrence of the label."""
-    at = F.locate(label, lowered)
-    start = F.greatest(at - fixed.LABEL_BEFORE, F.lit(1))
-    return F.when(at > 0, F.substring(text, start, at + fixed.LABEL_AFTER - start))
+    ends = F.struct(_yearly(low).alias("lo"), _yearly(non_empty(high)).alias("hi"))
+    return bind(F.when(low != "", ends), label)
 
 
 def salary_near_labels(text, labels):
-    """First plausible amount near a label, labels in list order."""
-    lowered = F.lower(text)
-    around = F.filter(
-        F.array(*[_near_label(text, lowered, label) for label in labels]), lambda t: t.isNotNull()
-    )
+    """First plausible amount near the first occurrence of a label, labels in list order."""
+    names = F.split(F.lit("|".join(labels)), r"\|")
+    spots = bind(F.lower(text), lambda low: F.transform(names, lambda n: F.instr(low, n)))
+    around = F.transform(F.filter(spots, lambda at: at > 0), lambda at: _around(text, at))
     amounts = F.flatten(F.transform(around, lambda t: F.regexp_extract_all(t, F.lit(DOLLARS), F.lit(0))))
     found = F.transform(
         amounts,
@@ -56,6 +52,11 @@ def salary_near_labels(text, labels):
     return F.get(F.filter(found, lambda s: s.isNotNull()), F.lit(0))
 
 
+def _around(text, at):
+    start = F.greatest(at - fixed.LABEL_BEFORE, F.lit(1))
+    return F.substring(text, start, at + fixed.LABEL_AFTER - start)
+
+
 def salary_text(text, passes=("range", "single", "label"), labels=None):
     """Yearly salary written in a page text, or null."""
     labels = labels or fixed.SALARY_LABELS

@@ -63,13 +63,19 @@ def first_non_empty(*cols):
     return F.coalesce(*[non_empty(c) for c in cols])
 
 
-def literal_map(mapping):
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def lookup(mapping, key):
+    """Value of a fixed mapping for ``key``; null when absent.
 
+    The mapping travels as one text that Spark folds to a constant, so that big tables
+    do not swell the plan.
+    """
+    text = ",".join(f"{k}:{v}" for k, v in mapping.items())
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit(","), F.lit(":")), key)
 
-def lookup(mapping, key):
-    """Value of a fixed mapping for ``key``; null when absent."""
-    return F.try_element_at(literal_map(mapping), key)
+
+def is_one_of(values, col):
+    """Membership in a fixed list, also as one constant."""
+    return F.array_contains(F.split(F.lit("|".join(values)), r"\|"), col)
 
 
 def title_case(col):
@@ -98,3 +104,8 @@ def trim_to(col, length):
 
 def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
+
+
+def bind(value, body):
+    """``body(value)`` with ``value`` computed once, also where Spark inlines the column."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

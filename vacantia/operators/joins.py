@@ -18,6 +18,8 @@ def lookup_join(left, right, on, how="left"):
     """
     on = [on] if isinstance(on, str) else list(on)
     key = F.xxhash64(*on)
+    if how == "inner":
+        left, right = left.dropna(subset=on), right.dropna(subset=on)
     return (
         left.withColumn("_key_hash", key)
         .join(right.withColumn("_key_hash", key), ["_key_hash", *on], how)

@@ -26,25 +26,25 @@ def _common(title, slug="raw_slug", ats=None):
     CAST(job_no AS VARCHAR) AS id, scraped_at AS updated_at FROM r WHERE ats = 'Greenhouse' AND status_code = 200 UNION ALL
     SELECT raw_slug, raw_slug, false, 'Greenhouse', 'mid', 'Nurse', 'Not specified', '', '', '', CAST(job_no + 1 AS VARCHAR), NULL FROM r WHERE ats = 'Greenhouse' AND status_code = 200""")
 def s03(spark, sf):
-    return boards.greenhouse(raw(spark, sf)).withColumn("departments", F.array_join("departments", "|"))
+    return boards.normalise(raw(spark, sf), "Greenhouse").withColumn("departments", F.array_join("departments", "|"))
 
 
 @query("s04_ashby", R + f"""SELECT {_common('title', ats='Ashby')}, coalesce(title, '') AS title, substr(location, 1, 50) AS location,
     'https://jobs.ashbyhq.com/' || raw_slug || '/' || CAST(job_no AS VARCHAR) AS url FROM r WHERE ats = 'Ashby' AND status_code = 200""")
 def s04(spark, sf):
-    return boards.ashby(raw(spark, sf))
+    return boards.normalise(raw(spark, sf), "Ashby")
 
 
 @query("s05_bamboohr", R + f"""SELECT {_common('title', ats='BambooHR')}, title, substr(full_loc, 1, 50) AS location, full_loc AS geo_location,
     'https://' || raw_slug || '.bamboohr.com/careers/' || CAST(job_no AS VARCHAR) AS url FROM (SELECT *, coalesce(nullif(concat_ws(', ', nullif(city, ''), nullif(state, '')), ''), 'Not specified') AS full_loc FROM r)
     WHERE ats = 'BambooHR' AND status_code = 200 AND contains(content_type, 'application/json')""")
 def s05(spark, sf):
-    return boards.bamboohr(raw(spark, sf))
+    return boards.normalise(raw(spark, sf), "BambooHR")
 
 
 @query("s06_lever", R + f"""SELECT {_common('title', ats='Lever')}, title, substr(location, 1, 50) AS location, url FROM r WHERE ats = 'Lever' AND status_code = 200""")
 def s06(spark, sf):
-    return boards.lever(raw(spark, sf))
+    return boards.normalise(raw(spark, sf), "Lever")
 
 
 _PAGES = R + f""", w AS (SELECT *, CASE WHEN status_code = 200 AND job_no % 59 <> 0 THEN 1 ELSE 0 END AS n, CASE WHEN status_code = 200 THEN total ELSE 0 END AS seen_total
@@ -69,7 +69,7 @@ def w06(spark, sf):
 @query("s07_workday", _PAGES + f""" SELECT {_common('title', slug="split_part(raw_slug, '|', 1)", ats='Workday')}, title, CASE WHEN location = '' THEN 'Not specified' ELSE substr(location, 1, 50) END AS location,
     'https://' || split_part(raw_slug, '|', 1) || '.' || split_part(raw_slug, '|', 2) || '.myworkdayjobs.com/ext/job/p' || CAST(job_no AS VARCHAR) AS url FROM good""")
 def s07(spark, sf):
-    return boards.workday(raw(spark, sf))
+    return boards.normalise(raw(spark, sf), "Workday")
 
 
 _ICIMS_TITLE = "(CASE l_partkey % 4 WHEN 0 THEN 'Senior It Manager' WHEN 1 THEN 'O''Neil Clerk' WHEN 2 THEN 'Nurse+Aide' ELSE '2Nd Shift Lead' END)"
@@ -78,7 +78,7 @@ _ICIMS_TITLE = "(CASE l_partkey % 4 WHEN 0 THEN 'Senior It Manager' WHEN 1 THEN
 @query("s09_icims", R + f"""SELECT {_common(_ICIMS_TITLE, ats='iCIMS')}, {_ICIMS_TITLE} AS title, 'Not specified' AS location,
     'https://careers-x.icims.com/jobs/' || CAST(job_no AS VARCHAR) || '/' || path_words || '/job' AS url, false AS remote FROM r WHERE ats = 'iCIMS' AND status_code = 200""")
 def s09(spark, sf):
-    return boards.icims(raw(spark, sf)).drop("coords")
+    return boards.normalise(raw(spark, sf), "iCIMS").drop("coords")
 
 
 @query("e1_all_postings", R + """SELECT ats, source, count(*) AS n FROM (SELECT 'automated' AS source, ats, unnest(range(CASE WHEN ats = 'Greenhouse' THEN 2 ELSE 1 END)) AS i

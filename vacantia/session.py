@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even when a later step then has to shuffle again
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the text rules are long expressions; deriving constraints from them costs the
+    # planner many seconds and yields nothing but not-null tests
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 

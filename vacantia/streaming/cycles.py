@@ -46,7 +46,9 @@ def alert_stream(postings, snapshots, path, checkpoint, as_of, row_id, keep=(),
     def on_batch(batch, epoch):
         spark = batch.sparkSession
         state = seen.empty_state(spark) if epoch == 0 else read_version(spark, f"{path}/state", epoch - 1, STATE_SEEN)
-        cycle = alert_cycle(batch, snapshots, state, as_of(epoch), row_id=row_id, keep=keep, days=days, **answers)
+        cycle = alert_cycle(
+            batch, snapshots, state, as_of(epoch), row_id=row_id, keep=keep, days=days,
+            verified_at=version_path(f"{path}/verified", epoch), **answers)
         cycle.open_jobs.write.mode("overwrite").parquet(version_path(f"{path}/open", epoch))
         cycle.new_jobs.write.mode("overwrite").parquet(version_path(f"{path}/new", epoch))
         cycle.state.write.mode("overwrite").parquet(version_path(f"{path}/state", epoch))
