@@ -67,7 +67,7 @@ def salary_text(text, passes=("range", "single", "label"), labels=None):
         "single": lambda: salary_label(F.regexp_extract(text, SINGLE_A_YEAR, 1), F.lit("")),
         "label": lambda: salary_near_labels(text, labels),
     }
-    return F.coalesce(*[makers[p]() for p in passes])
+    return F.when(F.contains(text, F.lit("$")), F.coalesce(*[makers[p]() for p in passes]))
 
 
 def parse_salary(text):

@@ -115,7 +115,8 @@ TREND = (
 def read_trends(spark, path):
     """Daily records from pretty-printed objects that follow each other in one file."""
     records = F.explode(F.split(F.trim("value"), r"(?<=\n\})\s*\n(?=\{)"))
-    return spark.read.text(path, wholetext=True).select(F.from_json(records, TREND).alias("r")).select("r.*")
+    texts = spark.read.text(path, wholetext=True).select(records.alias("record"))
+    return texts.select(F.from_json("record", TREND).alias("r")).select("r.*")
 
 
 def read_seen(spark, path):
