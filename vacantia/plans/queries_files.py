@@ -96,11 +96,11 @@ def k09(spark, sf):
     return tables.read_latest(spark, path, "job_id string, first_seen date, last_seen date")
 
 
-@query("k10_s20_dead_slugs", FETCHES + " SELECT DISTINCT ats AS platform, slug FROM f WHERE status_code IN (404, 410) OR CAST(substr(slug, 2) AS BIGINT) % 19 = 0")
+@query("k10_s20_dead_slugs", FETCHES + " SELECT DISTINCT ats AS platform, slug FROM f WHERE status_code IN (404, 410) OR status_code = 500")
 def k10(spark, sf):
     path = folder(spark, "dead")
     rows = fetches(spark, sf)
-    old = rows.filter("CAST(substr(slug, 2) AS BIGINT) % 19 = 0").select(c("ats").alias("platform"), "slug")
+    old = rows.filter("status_code = 500").select(c("ats").alias("platform"), "slug")
     sinks.write_dead_slugs(old, reports.newly_dead(rows).select(c("ats").alias("platform"), "slug"), path)
     return spark.read.schema("platform string, slug string").json(path)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fixed
 from vacantia.functions import geo
 from vacantia.functions.money import parse_salary
+from vacantia.functions.text import lookup
 from vacantia.operators import enrich, facets
 from vacantia.plans import oracle_parts as sql
 from vacantia.plans import sample_tables as sample
@@ -88,6 +89,39 @@ def w05(spark, sf):
     return rows.select(*ORD, F.array_join(geo.drop_repeats(c("t")), "|").alias("tokens"))
 
 
+_T = N + f""", r AS (SELECT {KEYS}, {_TOKENS} AS r FROM n), t AS (SELECT {KEYS}, list_filter(r, lambda x, i: i = 1 OR x <> r[i - 1]) AS t FROM r),
+    w AS (SELECT *, string_split(coalesce(t[1], ''), ' ') AS w FROM t)"""
+_NATIONS = "[" + ", ".join(sql.quoted(x) for x in fixed.COUNTRY_ALIASES) + "]"
+_NATION_CODES = "[" + ", ".join(sql.quoted(x) for x in fixed.COUNTRY_ALIASES.values()) + "]"
+_STATES = "[" + ", ".join(sql.quoted(x) for x in fixed.US_STATES) + "]"
+
+
+def tokens(spark, sf):
+    cut = geo.tokens_of(geo.strip_parentheses(geo.strip_work_arrangement(c("norm"))))
+    return norms(spark, sf).select(*ORD, cut.alias("r")).select(*ORD, geo.drop_repeats(c("r")).alias("t"))
+
+
+@query("g08_city_state", _T + f""" SELECT {KEYS}, CASE WHEN len(t) = 1 AND len(w) >= 2 AND list_contains({_STATES}, w[len(w)])
+    THEN array_to_string(w[1:len(w) - 1], ' ') || '|' || w[len(w)] ELSE array_to_string(t, '|') END AS tokens FROM w""")
+def g08(spark, sf):
+    return tokens(spark, sf).select(*ORD, F.array_join(geo.split_city_state(c("t")), "|").alias("tokens"))
+
+
+@query("g09_bare_country", _T + f" SELECT {KEYS}, CASE WHEN len(t) = 1 THEN {_NATION_CODES}[list_position({_NATIONS}, t[1])] END AS country FROM w")
+def g09(spark, sf):
+    bare = F.when(F.size("t") == 1, lookup(fixed.COUNTRY_ALIASES, F.get(c("t"), F.lit(0))))
+    return tokens(spark, sf).select(*ORD, bare.alias("country"))
+
+
+@query("g10_country", _T + f""", m AS (SELECT *, CASE WHEN len(t) > 1 THEN list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_contains({_NATIONS}, t[i]) THEN i END)) END AS at FROM w)
+    SELECT {KEYS}, {_NATION_CODES}[list_position({_NATIONS}, t[at])] AS country,
+    array_to_string(CASE WHEN at IS NULL THEN t ELSE list_filter(t, lambda x, i: i <> at) END, '|') AS rest FROM m""")
+def g10(spark, sf):
+    rows = tokens(spark, sf).withColumn("at", geo.last_match(c("t"), fixed.COUNTRY_ALIASES))
+    country = lookup(fixed.COUNTRY_ALIASES, F.get(c("t"), c("at")))
+    return rows.select(*ORD, country.alias("country"), F.array_join(geo.without(c("t"), c("at")), "|").alias("rest"))
+
+
 def _values(rows):
     def text(v):
         return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else sql.quoted(v) if isinstance(v, str) else repr(v)
@@ -176,12 +210,12 @@ _OWN = "lower(trim(company)) || '|' || lower(trim(coalesce(title, ''))) || '|' |
 _TITLE = "lower(trim(coalesce(title, ''))) || '|' || skill_level"
 _QUART = ("CAST(round(quantile_cont(amount, 0.25)) AS BIGINT) AS p25, CAST(round(quantile_cont(amount, 0.5)) AS BIGINT) AS median, "
           "CAST(round(quantile_cont(amount, 0.75)) AS BIGINT) AS p75, count(*) AS n")
-TABLES = SLIM + f""", own AS (SELECT {_OWN} AS key, {_QUART} FROM s WHERE l_linenumber <= 5 GROUP BY 1 HAVING count(*) >= 5),
-    tit AS (SELECT {_TITLE} AS key, {_QUART} FROM s WHERE l_linenumber <= 5 GROUP BY 1 HAVING count(*) >= 5)"""
+TABLES = SLIM + f""", own AS (SELECT {_OWN} AS key, {_QUART} FROM s GROUP BY 1 HAVING count(*) >= 5),
+    tit AS (SELECT {_TITLE} AS key, {_QUART} FROM s GROUP BY 1 HAVING count(*) >= 5)"""
 
 
 def salary_tables(spark, sf):
-    samples = sample.slim_postings(spark, sf).filter("l_linenumber <= 5").select("company", "title", "skill_level", "amount")
+    samples = sample.slim_postings(spark, sf).select("company", "title", "skill_level", "amount")
     return enrich.salary_table(samples), enrich.salary_table(samples, "fallback")
 
 

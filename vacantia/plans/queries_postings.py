@@ -318,10 +318,10 @@ def f06(spark, sf):
     return rows.join(reports.newly_dead(rows), ["ats", "slug"], "left_anti").groupBy("ats", "slug").agg(F.count("*").alias("n"))
 
 
-@query("u04_dead_union", FETCHES + f" {_DEAD} UNION SELECT DISTINCT ats, slug FROM f WHERE l_s % 19 = 0".replace("l_s % 19 = 0", "CAST(substr(slug, 2) AS BIGINT) % 19 = 0"))
+@query("u04_dead_union", FETCHES + f" {_DEAD} UNION SELECT DISTINCT ats, slug FROM f WHERE status_code = 500")
 def u04(spark, sf):
     rows = fetches(spark, sf)
-    old = rows.filter("CAST(substr(slug, 2) AS BIGINT) % 19 = 0").select("ats", "slug")
+    old = rows.filter("status_code = 500").select("ats", "slug")
     return old.union(reports.newly_dead(rows)).distinct()
 
 

@@ -229,29 +229,34 @@ def _money(n):
     return f"'$' || format('{{:,}}', {n})"
 
 
+def _yearly(n):
+    return f"(CASE WHEN {n} < 1000 THEN {n} * 1000 ELSE {n} END)"
+
+
 def _between(lo, hi):
+    lo, hi = _yearly(lo), _yearly(hi)
     return f"CASE WHEN {lo} >= 25000 AND {lo} <= 2000000 AND greatest({lo}, {hi}) <= 2000000 THEN {_money(f'least({lo}, {hi})')} || ' – ' || {_money(f'greatest({lo}, {hi})')} END"
 
 
 _K1, _K2 = "(l_orderkey % 400) * 1000", "(l_orderkey % 300) * 1000"
-_ONE = f"CASE WHEN {_A} >= 25000 THEN {_money(_A)} END"
+_ONE = f"CASE WHEN {_yearly(_A)} >= 25000 THEN {_money(_yearly(_A))} END"
 PAY_EXPECTED = (
     f"(CASE l_partkey % 9 WHEN 0 THEN {_between(_K1, _K2)} WHEN 1 THEN coalesce({_between(_B, _A)}, {_ONE}) WHEN 2 THEN {_ONE} WHEN 3 THEN '$30,000 – $40,000' "
     f"WHEN 6 THEN {_ONE} WHEN 7 THEN {_ONE} END)")
 
 
-@query("x07_salary_text", f"SELECT {KEYS}, {PAY_EXPECTED} AS pay FROM lineitem WHERE l_extendedprice >= 1000")
+@query("x07_salary_text", f"SELECT {KEYS}, {PAY_EXPECTED} AS pay FROM lineitem")
 def x07(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem").filter("l_extendedprice >= 1000")
+    rows = sample.spread_table(spark, sf, "lineitem")
     return rows.selectExpr(*ORD, f"{_PAY} AS text").select(*ORD, salary_text(c("text")).alias("pay"))
 
 
 _OLD_PAY = f"(CASE l_partkey % 4 WHEN 0 THEN 'Hourly rate $' || {_comma(_A)} WHEN 1 THEN 'starting pay $' || {_comma(_A)} WHEN 2 THEN 'wage: $' || {_comma(_A)} || ' - $' || {_comma(_B)} ELSE '$90,000 a year' END)"
 
 
-@query("x08_salary_labels_only", f"""SELECT {KEYS}, CASE l_partkey % 4 WHEN 0 THEN {_ONE} WHEN 2 THEN {_between(_A, _B)} END AS pay FROM lineitem WHERE l_extendedprice >= 1000""")
+@query("x08_salary_labels_only", f"""SELECT {KEYS}, CASE l_partkey % 4 WHEN 0 THEN {_ONE} WHEN 2 THEN {_between(_A, _B)} END AS pay FROM lineitem""")
 def x08(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem").filter("l_extendedprice >= 1000")
+    rows = sample.spread_table(spark, sf, "lineitem")
     pay = salary_text(c("text"), passes=("label",), labels=fixed.SALARY_LABELS_OLDER)
     return rows.selectExpr(*ORD, f"{_OLD_PAY} AS text").select(*ORD, pay.alias("pay"))
 

@@ -118,14 +118,19 @@ def t08_toggle(spark, sf):
     return facets.toggled_status(sample.status_events(spark, sf))
 
 
-_MARKS = "SELECT DISTINCT key, status FROM st WHERE event_id % 7 = 0"
+# every event marks a job; only some of the keys have a status already
+_MARK = {
+    "key": "'u' || CAST(user_id * 2 AS STRING)",
+    "status": "split_part('saved|applied|ignored', '|', CAST((user_id + (CASE event_type WHEN 'view' THEN 1 ELSE 0 END)) % 3 + 1 AS INT))",
+}
+_MARKS = f"SELECT DISTINCT key, status FROM ({sample.as_sql(_MARK, 'events')})"
 
 
 @query("t09_batch_status", "WITH " + LAST + f""", m AS ({_MARKS}), b AS (SELECT key, max(CASE status WHEN 'saved' THEN 1 WHEN 'applied' THEN 2 ELSE 3 END) AS r FROM m GROUP BY key)
     SELECT coalesce(b.key, cur.key) AS key, CASE r WHEN 1 THEN 'saved' WHEN 2 THEN 'applied' WHEN 3 THEN 'ignored' ELSE cur.status END AS status
     FROM cur FULL JOIN b ON b.key = cur.key""")
 def t09(spark, sf):
-    marks = sample.status_events(spark, sf).filter("event_id % 7 = 0").select("key", "status").distinct()
+    marks = sample.table(spark, sf, "events").selectExpr(*sample.select_list(_MARK)).distinct()
     return facets.apply_batch(statuses(spark, sf), marks, AS_OF).select("key", "status")
 
 
