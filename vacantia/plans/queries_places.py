@@ -113,9 +113,9 @@ def g09(spark, sf):
     return tokens(spark, sf).select(*ORD, bare.alias("country"))
 
 
-@query("g10_country", _T + f""", m AS (SELECT *, CASE WHEN len(t) > 1 THEN list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_contains({_NATIONS}, t[i]) THEN i END)) END AS at FROM w)
-    SELECT {KEYS}, {_NATION_CODES}[list_position({_NATIONS}, t[at])] AS country,
-    array_to_string(CASE WHEN at IS NULL THEN t ELSE list_filter(t, lambda x, i: i <> at) END, '|') AS rest FROM m""")
+@query("g10_country", _T + f""", m AS (SELECT *, CASE WHEN len(t) > 1 THEN list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_contains({_NATIONS}, t[i]) THEN i END)) END AS spot FROM w)
+    SELECT {KEYS}, {_NATION_CODES}[list_position({_NATIONS}, t[spot])] AS country,
+    array_to_string(CASE WHEN spot IS NULL THEN t ELSE list_filter(t, lambda x, i: i <> spot) END, '|') AS rest FROM m""")
 def g10(spark, sf):
     rows = tokens(spark, sf).withColumn("at", geo.last_match(c("t"), fixed.COUNTRY_ALIASES))
     country = lookup(fixed.COUNTRY_ALIASES, F.get(c("t"), c("at")))
