@@ -1,7 +1,5 @@
 """Session settings the jobs rely on."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -28,16 +26,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local
-    runs, tests) a fresh temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset it lies in the
+    session's warehouse, which driver and executors share as well.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vacantia-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_intermediate")
         current = context.getCheckpointDir()
     return current
 
