@@ -10,6 +10,7 @@ import base64
 import functools
 import hashlib
 import json
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -168,6 +169,60 @@ def merge_file(path):
     return merges
 
 
+#: Buckets of the literal rank map: a lookup hashes to one and reads its few entries.
+BUCKETS = 1 << 14
+
+
+def _bucket(piece):
+    return F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")
+
+
+@functools.cache
+def _rank_text(path):
+    """The rank map as one text: a line for each bucket with its ``hex:rank`` entries."""
+    lines = [[] for _ in range(BUCKETS)]
+    for token, rank in rank_file(path).whole.items():
+        lines[zlib.crc32(token) % BUCKETS].append(f"{token.hex().upper()}:{int.from_bytes(rank, 'little')}")
+    return "\n".join(",".join(line) for line in lines)
+
+
+def fold_column(word, ranks=None):
+    """Ids of a word (binary) by Spark's higher-order functions alone.
+
+    The state is the array of the word's byte pieces. Every step looks up the rank of each
+    pair of neighbours in a literal map, merges the first pair of the lowest rank, and the
+    state stays once no pair has a rank. A word that has a rank itself is one token.
+    """
+    table = F.split(F.lit(_rank_text(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))), "\n")
+
+    def rank(piece):
+        entries = F.str_to_map(F.get(table, _bucket(piece)), F.lit(","), F.lit(":"))
+        return F.try_element_at(entries, F.hex(piece)).cast("int")
+
+    def bound(value, body):
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def step(state, _):
+        pieces = state["pieces"]
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1))))
+
+        def merged(found):
+            at = F.array_position(found, F.array_min(found)).cast("int")
+            joined = F.concat(F.get(pieces, at - 1), F.get(pieces, at))
+            more = F.concat(F.slice(pieces, 1, at - 1), F.array(joined), F.slice(pieces, at + 2, F.size(pieces)))
+            return F.when(F.array_min(found).isNull(), F.struct(pieces.alias("pieces"), F.lit(True).alias("done"))).otherwise(
+                F.struct(more.alias("pieces"), F.lit(False).alias("done")))
+
+        return F.when(state["done"] | (F.size(pieces) < 2), state).otherwise(bound(pairs, merged))
+
+    size = F.octet_length(word)
+    start = F.when(rank(word).isNotNull(), F.array(word)).otherwise(
+        F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1))))
+    folded = F.aggregate(F.sequence(F.lit(1), size), F.struct(start.alias("pieces"), F.lit(False).alias("done")), step)
+    return F.when(size > 0, F.transform(folded["pieces"], rank)).otherwise(F.array().cast("array<int>"))
+
+
 def encode(docs, ranks=None, id_col="doc_id", text_col="text", with_ids=False):
     """Encode every whole text by the ranks and decode it again, without special tokens.
 

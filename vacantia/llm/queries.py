@@ -2,7 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from vacantia.llm import bpe, fertility, mixing, shards, token_counts
+from vacantia.llm import (
+    bpe,
+    epsilon_join,
+    fertility,
+    licenses,
+    minhash,
+    mixing,
+    passages,
+    shards,
+    suffixes,
+    token_counts,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -66,11 +77,38 @@ def op1(spark, sf_dir):
     return mixing.with_copies(table(spark, sf_dir, "documents"))
 
 
+@query("op2_chained_passages")
+def op2(spark, sf_dir):
+    """Fuzzy passages of 50 words or more that documents share."""
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_license_scan")
+def op3(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_counts")
 def op4(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op5_epsilon_join")
+def op5(spark, sf_dir):
+    return epsilon_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_circulant_minhash")
+def op6(spark, sf_dir):
+    """Near-duplicates of all documents by two-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op8_interleaved_shards")
 def op8(spark, sf_dir):
     """All documents in 24 shards whose row counts differ by one at most."""
@@ -92,3 +130,11 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 def op10(spark, sf_dir):
     measured = fertility.measure(table(spark, sf_dir, "documents"))
     return measured.select("doc_id", *BASE, "chars_per_piece", "chars_per_token", "fallback_share", "entropy", "band")
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
