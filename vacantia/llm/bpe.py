@@ -13,6 +13,7 @@ import json
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -271,7 +272,7 @@ def decode(encoded, ranks=None, ids_col="ids"):
     ready(encoded)
 
     @F.pandas_udf("binary")
-    def join(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def join(ids: pd.Series) -> pd.Series:
         pieces = rank_file(path).pieces
         return ids.map(lambda row: None if row is None else b"".join(pieces[int(i)] for i in row))
 

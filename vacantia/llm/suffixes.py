@@ -167,6 +167,8 @@ def multikey_repeats(words, starts, groups, least=LEAST):
     order = np.argsort(groups, kind="stable")
     segment = groups[order]
     for depth, step in enumerate([None, *steps]):
+        if not len(order):
+            return out
         if step is not None:
             word = words[starts[order] + step]
             inner = np.lexsort((word, segment))
@@ -175,7 +177,7 @@ def multikey_repeats(words, starts, groups, least=LEAST):
         else:
             new = np.append(True, segment[1:] != segment[:-1])
         segment = np.cumsum(new) - 1
-        size = np.bincount(segment)[segment] if len(segment) else segment
+        size = np.bincount(segment)[segment]
         order, segment = order[size > 1], segment[size > 1]
         if not len(order):
             return out

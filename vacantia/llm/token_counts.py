@@ -13,7 +13,7 @@ END_OF_TEXT = b"<|endoftext|>"
 
 def part_at(data, offsets, mark=END_OF_TEXT):
     """Offsets of the parts of all texts when ``mark`` stands apart: (offsets, is a mark)."""
-    raw, cuts, marks, at = data.tobytes(), [], [], -1
+    raw, cuts, marks, at = data.tobytes(), [], [], 0
     while (at := raw.find(mark, at)) >= 0:
         if texts.owner(offsets, at) == texts.owner(offsets, at + len(mark) - 1):
             cuts += [at, at + len(mark)]
