@@ -26,7 +26,7 @@ def test_chunks_round_trip(spark, tmp_path):
     check = sources.manifest_check(sources.read_manifest(spark, folder), back).first()
     assert (check.announced, check.found) == (95, 95)
     # every chunk is one JSON array in canonical order
-    (part,) = (tmp_path / "chunks" / "name=jobs_chunk_0").glob("part-*.gz")
+    (part,) = (tmp_path / "chunks" / "name=jobs_chunk_0.json.gz").glob("part-*.gz")
     companies = [row["company"].lower() for row in json.loads(gzip.open(part, "rt").read())]
     assert len(companies) == 20 and companies == sorted(companies)
 

@@ -109,7 +109,7 @@ def test_seen_cycle(spark):
         ("a", D(2026, 6, 1), today), ("b", D(2026, 4, 1), D(2026, 5, 15)), ("e", D(2026, 1, 1), today), ("f", today, today)]
     assert rows(seen.attach_state(jobs, after), "n", "first_seen")[3] == (4, today)
     assert sorted(r.job_id for r in seen.prune(state, jobs, "2026-06-14").collect()) == ["a", "b", "e"]
-    assert seen.refresh(jobs, state, "2026-06-14").count() == 5
+    assert seen.refresh(jobs, state, "2026-06-14").count() == 6
     assert seen.mark_new(jobs, seen.empty_state(spark), ["n"]).filter("is_new").count() == 3
 
 
@@ -185,9 +185,9 @@ def test_url_health(spark):
     data = [("Lever", i, 500, None) for i in range(12)] + [("Ashby", i, 200 if i < 4 else 404, None) for i in range(10)]
     data += [("Workday", i, 405, 200 if i < 5 else 500) for i in range(10)]
     df = spark.createDataFrame([(a, f"u{i}", i, s, g) for a, i, s, g in data], "ats string, url string, n int, http_status int, get_status int")
-    report = reports.url_health(df, ["n"])
+    report = reports.url_health(df)
     assert {r.ats: (r.alive, r.total, r.status) for r in report.collect()} == {
-        "Lever": (0, 10, "PATTERN_BROKEN"), "Ashby": (4, 10, "DEGRADED"), "Workday": (5, 10, "OK"),
+        "Lever": (0, 12, "PATTERN_BROKEN"), "Ashby": (4, 10, "DEGRADED"), "Workday": (5, 10, "OK"),
         "Greenhouse": (0, 0, "NO_URLS"), "BambooHR": (0, 0, "NO_URLS"), "iCIMS": (0, 0, "NO_URLS")}
     assert rows(reports.health_failures(report), "ats") == [("BambooHR",), ("Greenhouse",), ("Lever",), ("iCIMS",)]
 

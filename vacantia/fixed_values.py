@@ -226,7 +226,6 @@ ICIMS_INTL_PREFIXES = (
     "de- it- uk- fr- es- nl- au- ca- sg- jp- kr- in- br- mx- pl- se-"
 ).split()
 WORKDAY_SEARCH_TERMS = ["director", "VP infrastructure", "head of IT", "incident manager"]
-WORKDAY_HITS_PER_TERM = 100
 
 # ---- location parsing -----------------------------------------------------------
 REMOTE_WORDS = ["remote", "anywhere", "worldwide", "work from home", "wfh"]
@@ -512,7 +511,6 @@ HEATMAP_MIN = 75
 SAMPLE_URLS = 10
 MIN_SALARY_SAMPLES = 5
 HOURS_PER_YEAR = 2080
-MARKER_LIMIT = 26
 TOP_NEW = 20
 PAGE_SIZES = (25, 50, 100)
 ATS_NAMES = ["Greenhouse", "Ashby", "BambooHR", "Lever", "Workday", "iCIMS"]

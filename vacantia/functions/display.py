@@ -74,11 +74,16 @@ def coordinate_key(lat, lng):
 
 
 def string_hash(text):
-    """Signed 32-bit hash ``h = 31 h + c`` over the characters."""
+    """Signed 32-bit hash ``h = 31 h + c`` over the UTF-16 units."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    count = (F.length(units) / 4).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     return F.aggregate(
-        F.split(text, ""),
+        places,
         F.lit(0).cast("bigint"),
-        lambda h, c: F.pmod(h * 31 + F.ascii(c) + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31),
+        lambda h, i: F.pmod(
+            h * 31 + F.conv(F.substr(units, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint") + F.lit(1 << 31), F.lit(1 << 32)
+        ) - F.lit(1 << 31),
     )
 
 

@@ -20,7 +20,9 @@ def _yearly(digits):
 
 
 def dollars(value):
-    return F.format_string("$%,d", value.cast("bigint"))
+    """Whole dollars with separators; null for what is no amount (NaN, beyond 15 digits)."""
+    amount = F.when(value.between(-1e15, 1e15), value)
+    return F.when(amount.isNotNull(), F.format_string("$%,d", amount.try_cast("bigint")))
 
 
 def salary_label(low, high):

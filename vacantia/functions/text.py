@@ -98,10 +98,6 @@ def percent_decode(col):
     return F.coalesce(F.try_url_decode(F.replace(col, F.lit("+"), F.lit("%2B"))), col)
 
 
-def trim_to(col, length):
-    return F.substring(strip(col), 1, length)
-
-
 def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.functions.classify import company_slug, job_id
-from vacantia.functions.text import alternation, has_any, has_phrase, strip, trim_to
+from vacantia.functions.text import alternation, has_any, has_phrase, strip
 from vacantia.schemas import ALERT_COLUMNS
 
 
@@ -92,7 +92,7 @@ def to_alert_jobs(postings, keep=()):
         strip(F.col("company")).alias("company"),
         strip(F.col("url")).alias("application_url"),
         F.coalesce("ats", F.lit("Unknown")).alias("platform_source"),
-        trim_to(F.coalesce("location", empty), 120).alias("location"),
+        strip(F.coalesce("location", empty)).alias("location"),
         "remote",
         F.coalesce("skill_level", empty).alias("skill_level"),
         F.coalesce("is_recruiter", F.lit(False)).alias("is_recruiter"),

@@ -158,14 +158,13 @@ def in_viewport(south, west, north, east):
     return F.col("coords").isNotNull() & F.col("coords.lat").between(south, north) & F.col("coords.lng").between(west, east)
 
 
-def map_markers(df, box, order, seed=0, limit=fixed.MARKER_LIMIT):
+def map_markers(df, box, order, seed=0):
     """One posting per company initial in the viewport, priced ones first."""
     visible = df.filter(in_viewport(*box) & is_real_company(F.col("company")))
     initial = F.lower(F.left("company", F.lit(1)))
     firsts = first_per_group(visible.withColumn("initial", initial), ["initial"], order)
-    shown = firsts.orderBy(*order).limit(limit)
     priced = F.coalesce(F.col("salary.median") != 0, F.lit(False))
-    return shown.orderBy(priced.desc(), F.xxhash64("url", F.lit(seed)))
+    return firsts.orderBy(priced.desc(), F.xxhash64("url", F.lit(seed)))
 
 
 def heatmap(df, minimum=fixed.HEATMAP_MIN):

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
-from vacantia.operators.joins import first_per_group
 
 
 def company_job_counts(fetches):
@@ -89,11 +88,11 @@ def daily_trend(postings):
     )
 
 
-def url_health(probes, order, sample=fixed.SAMPLE_URLS):
-    """Verdict per platform from at most ``sample`` probed urls (HEAD, GET after a 405)."""
-    sampled = first_per_group(probes.filter("url <> ''"), ["ats"], order, n=sample)
+def url_health(probes):
+    """Verdict per platform from all probed urls (HEAD, GET after a 405)."""
+    probed = probes.filter("url <> ''")
     final = F.when(F.col("http_status") == 405, F.col("get_status")).otherwise(F.col("http_status"))
-    found = sampled.groupBy("ats").agg(
+    found = probed.groupBy("ats").agg(
         F.count("*").alias("total"), F.count_if(F.coalesce(final < 400, F.lit(False))).alias("alive")
     )
     names = probes.sparkSession.createDataFrame([(n,) for n in fixed.ATS_NAMES], "ats string")

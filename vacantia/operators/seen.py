@@ -21,24 +21,26 @@ def mark_new(jobs, seen, row_id):
     )
 
 
+def _refreshed(jobs, seen, today):
+    current = jobs.select("job_id").distinct().withColumn("_current", F.lit(True))
+    return seen.join(current, "job_id", "full").select(
+        "job_id",
+        F.when(F.col("_current") & F.col("first_seen").isNull(), today).otherwise(F.col("first_seen")).alias("first_seen"),
+        F.when(F.col("_current"), today).otherwise(F.col("last_seen")).alias("last_seen"),
+        "_current",
+    )
+
+
 def next_state(jobs, seen, today, days=fixed.PRUNE_DAYS):
     """State after a run: current ids refreshed or added, ids unseen for too long dropped."""
-    current = jobs.select("job_id").distinct().withColumn("_current", F.lit(True))
     today = F.lit(today).cast("date")
-    return (
-        seen.join(current, "job_id", "full")
-        .filter(F.col("_current") | (F.col("last_seen") >= F.date_sub(today, days)))
-        .select(
-            "job_id",
-            F.when(F.col("_current") & F.col("first_seen").isNull(), today).otherwise(F.col("first_seen")).alias("first_seen"),
-            F.when(F.col("_current"), today).otherwise(F.col("last_seen")).alias("last_seen"),
-        )
-    )
+    kept = F.col("_current") | (F.col("last_seen") >= F.date_sub(today, days))
+    return _refreshed(jobs, seen, today).filter(kept).drop("_current")
 
 
 def refresh(jobs, seen, today):
     """State with current ids refreshed or added and nothing pruned."""
-    return next_state(jobs, seen, today, days=10**6)
+    return _refreshed(jobs, seen, F.lit(today).cast("date")).drop("_current")
 
 
 def prune(seen, current_ids, today, days=fixed.PRUNE_DAYS):

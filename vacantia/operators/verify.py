@@ -16,6 +16,16 @@ def latest_snapshots(snapshots, order=("fetched_at",)):
     return last_per_group(snapshots, ["url"], list(order))
 
 
+def latest_answers(answers, keys):
+    """One landed answer per key: the last by ``landed_at``, then a success before a failure.
+
+    Tables without ``landed_at`` have one landing; what ties is settled by all columns.
+    """
+    at = ["landed_at"] if "landed_at" in answers.columns else []
+    rest = sorted(n for n in answers.columns if n not in (*keys, *at, "status_code"))
+    return last_per_group(answers, list(keys), [*at, -F.col("status_code"), *rest])
+
+
 def embed_verdicts(snapshots, board):
     """Answer of the board for pages that embed one posting (``gh_jid=`` in the url).
 
@@ -36,7 +46,7 @@ def embed_verdicts(snapshots, board):
     embedded = snapshots.withColumn("posting_id", posting).filter("posting_id <> ''")
     slugs = F.array(non_empty(F.regexp_extract(html, EMBED_SLUG, 1)), non_empty(linked), non_empty(domain))
     tries = embedded.select("url", "posting_id", F.posexplode(slugs).alias("_try", "slug")).filter("slug IS NOT NULL")
-    answers = board.filter(F.col("status_code").isin(200, 404)).select(
+    answers = latest_answers(board, ["slug", "posting_id"]).filter(F.col("status_code").isin(200, 404)).select(
         "slug", "posting_id",
         F.struct(
             (F.col("status_code") == 200).alias("is_live"),
@@ -74,7 +84,7 @@ def with_workday_answer(jobs, searches, as_of):
         days_ago(posted, as_of), F.when(posted.rlike(r"^\d{4}-\d{2}-\d{2}$"), posted)
     )
     live = F.coalesce(F.col("total"), F.lit(0)) != 0
-    answers = searches.filter("status_code = 200").select(
+    answers = latest_answers(searches, ["host", "tenant", "posting"]).filter("status_code = 200").select(
         "host", "tenant", "posting",
         F.struct(
             live.alias("is_live"),

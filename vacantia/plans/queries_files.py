@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
-from vacantia.operators import reports, seen
+from vacantia.operators import facets, reports, seen
 from vacantia.plans import jobs
 from vacantia.plans import oracle_parts as sql
 from vacantia.plans import sample_tables as sample
@@ -102,15 +102,63 @@ def k10(spark, sf):
     rows = fetches(spark, sf)
     old = rows.filter("status_code = 500").select(c("ats").alias("platform"), "slug")
     sinks.write_dead_slugs(old, reports.newly_dead(rows).select(c("ats").alias("platform"), "slug"), path)
-    return spark.read.schema("platform string, slug string").json(path)
+    platforms = [sources.read_dead_slugs(spark, path, name) for name in fixed.ATS_NAMES]
+    out = platforms[0]
+    for rows in platforms[1:]:
+        out = out.union(rows)
+    return out
 
 
 @query("k11_s17_salary_shards", TABLES + " SELECT key, p25, median, p75, n FROM own")
 def k11_files(spark, sf):
     path = folder(spark, "shards")
     sinks.write_salary_shards(salary_tables(spark, sf)[0], path)
-    rows = spark.read.schema("key string, salary struct<p25:bigint,median:bigint,p75:bigint,n:bigint>").json(path)
-    return rows.select("key", "salary.*")
+    return sources.read_salary_shards(spark, path).select("key", "salary.*")
+
+
+@query("k04_s14_company_file", P + " SELECT DISTINCT 'Lever' AS ats, company AS slug FROM p WHERE company <> ''")
+def k04_files(spark, sf):
+    path = folder(spark, "companies")
+    sinks.write_companies(sample.postings(spark, sf).filter("company <> ''").select(c("company").alias("slug")), path)
+    return sources.read_companies(spark, path, "Lever")
+
+
+@query("k05_active_file", FETCHES + " SELECT slug, CAST(sum(jobs) AS BIGINT) AS jobs FROM f GROUP BY slug HAVING sum(jobs) > 0")
+def k05_files(spark, sf):
+    path = folder(spark, "active")
+    sinks.write_active_companies(reports.company_job_counts(fetches(spark, sf)), path)
+    return sources.read_active_companies(spark, path)
+
+
+@query("s16_gazetteer_file", "SELECT CAST(s_suppkey AS VARCHAR) || ' town' AS city, 'A' || CAST(s_nationkey AS VARCHAR) AS admin, 'US' AS country, CAST(s_acctbal AS DOUBLE) AS lat FROM supplier")
+def s16(spark, sf):
+    path = folder(spark, "gazetteer")
+    rows = sample.table(spark, sf, "supplier").selectExpr(
+        "array('lat', 'city', 'admin', 'country', 'lng') AS schema",
+        "array(CAST(CAST(s_acctbal AS DOUBLE) AS STRING), s_suppkey || ' town', 'A' || s_nationkey, 'US', '1.5') AS row")
+    rows.groupBy("schema").agg(F.collect_list("row").alias("data")).coalesce(1).write.json(path)
+    return sources.read_gazetteer(spark, path).select("city", "admin", "country", "lat")
+
+
+@query("s18_trend_file", "SELECT CAST(ts AS DATE) AS date, count(*) AS total_jobs, count(DISTINCT user_id) AS active_companies FROM events GROUP BY 1")
+def s18(spark, sf):
+    path = folder(spark, "daily")
+    days = sample.table(spark, sf, "events").groupBy(F.to_date("ts").alias("date")).agg(
+        F.count("*").alias("total_jobs"), F.count_distinct("user_id").alias("active_companies"))
+    record = F.to_json(F.struct("date", "total_jobs", "active_companies"), {"pretty": "true"})
+    days.select(record.alias("value")).coalesce(1).write.text(path)
+    return sources.read_trends(spark, path).select("date", "total_jobs", "active_companies")
+
+
+@query("s21_status_file", "WITH " + ST + """, l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS rn FROM st)
+    SELECT key, status FROM l WHERE rn = 1 AND status IS NOT NULL""")
+def s21(spark, sf):
+    path = folder(spark, "marks")
+    now = facets.current_status(sample.status_events(spark, sf))
+    entry = F.to_json(F.create_map(c("key"), F.struct("status", c("ts").cast("string").alias("date"))))
+    now.select(entry.alias("value")).write.text(path)
+    lines = spark.read.text(path)  # one document a line: each becomes a file of its own reading
+    return sources.parse_statuses(lines).select("key", "status")
 
 
 @query("k12_trend_days", P + f""" SELECT {sql.TODAY} - CAST(l_orderkey % 60 AS INT) AS date, count(*) AS total_jobs, count(DISTINCT company) AS active_companies FROM p GROUP BY 1""")
@@ -132,7 +180,7 @@ def k07_files(spark, sf):
     rows = sample.postings(spark, sf).filter("company <> '' AND title IS NOT NULL").select(
         "title", "company", "location", c("ats").alias("platform_source"), F.lit(None).cast("date").alias("first_seen"), c("url").alias("job_id"))
     sinks.write_jobs_db(rows, path, AS_OF)
-    return spark.read.schema("title string, company string, location string, platform_source string").json(f"{path}/jobs")
+    return sources.read_jobs_db(spark, path).select("title", "company", "location", "platform_source")
 
 
 # ---- whole jobs -----------------------------------------------------------------
@@ -208,6 +256,17 @@ def t02(spark, sf):
     return tables.read_latest(spark, state, "job_id string, first_seen date, last_seen date")
 
 
+@query("t02_empty_batch", _state_chain(5, 8))
+def t02_empty(spark, sf):
+    """A week without sightings lands as files without rows: the state goes on as it was."""
+    rows = sample.sightings(spark, sf).withColumn("week", F.floor((F.dayofmonth("day") - 1) / 7).cast("int"))
+    landing, state = folder(spark, "sightings"), folder(spark, "seen")
+    per_batch = land([rows.filter(c("week") == w) for w in (0, 1, 99, 2, 3, 99, 4, 99)], landing, 1)
+    stream = cycles.files(spark, landing, rows.schema, per_batch)
+    cycles.seen_stream(stream, state, folder(spark, "progress"), days=8).awaitTermination()
+    return tables.read_latest(spark, state, "job_id string, first_seen date, last_seen date")
+
+
 @query("t04_merge_stream", P + f""", u AS (SELECT *, {sql.posting_key()} AS k, CAST(floor(l_linenumber / 3) AS INT) AS batch FROM p),
     r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY batch DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM u WHERE k IS NOT NULL)
     SELECT {KEYS}, k FROM r WHERE rn = 1 AND (batch = 2 OR {sql.fresh('scraped_at')})""")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fixed
 from vacantia.functions import classify, display
 from vacantia.functions.money import thousands
-from vacantia.functions.text import first_non_empty, trim_to
+from vacantia.functions.text import first_non_empty, strip
 from vacantia.operators import alerts, clean, merge, order, reports
 from vacantia.operators.joins import first_per_group, last_per_group
 from vacantia.plans import oracle_parts as sql
@@ -68,10 +68,9 @@ def p06(spark, sf):
         *ORD, *[n for n in SLIM_COLUMNS if n not in ("coords", "salary")], "salary.median", "coords.lat")
 
 
-@query("p07_location_lengths", P + f" SELECT {KEYS}, substr(trim(location), 1, 120) AS loc120, substr(location, 1, 9) AS loc9 FROM p")
+@query("p07_trimmed_location", P + f" SELECT {KEYS}, trim(location) AS location FROM p")
 def p07(spark, sf):
-    return sample.postings(spark, sf).select(
-        *ORD, trim_to(c("location"), 120).alias("loc120"), F.left(c("location"), F.lit(9)).alias("loc9"))
+    return sample.postings(spark, sf).select(*ORD, strip(c("location")).alias("location"))
 
 
 @query("p08_fallbacks", P + f""" SELECT {KEYS}, coalesce(nullif(url, ''), absolute_url) AS url,

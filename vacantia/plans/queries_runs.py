@@ -247,7 +247,7 @@ PAY_EXPECTED = (
 
 @query("x07_salary_text", f"SELECT {KEYS}, {PAY_EXPECTED} AS pay FROM lineitem")
 def x07(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem")
+    rows = sample.table(spark, sf, "lineitem")
     return rows.selectExpr(*ORD, f"{_PAY} AS text").select(*ORD, salary_text(c("text")).alias("pay"))
 
 
@@ -256,7 +256,7 @@ _OLD_PAY = f"(CASE l_partkey % 4 WHEN 0 THEN 'Hourly rate $' || {_comma(_A)} WHE
 
 @query("x08_salary_labels_only", f"""SELECT {KEYS}, CASE l_partkey % 4 WHEN 0 THEN {_ONE} WHEN 2 THEN {_between(_A, _B)} END AS pay FROM lineitem""")
 def x08(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem")
+    rows = sample.table(spark, sf, "lineitem")
     pay = salary_text(c("text"), passes=("label",), labels=fixed.SALARY_LABELS_OLDER)
     return rows.selectExpr(*ORD, f"{_OLD_PAY} AS text").select(*ORD, pay.alias("pay"))
 
@@ -269,7 +269,7 @@ _DATE_WANT = f"(CASE l_partkey % 7 WHEN 0 THEN CASE WHEN l_orderkey % 500 <= 365
 
 @query("x09_date_text", f"SELECT {KEYS}, {_DATE_WANT} AS day FROM lineitem")
 def x09(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem").selectExpr(*ORD, f"{_DATE_TEXT} AS text")
+    rows = sample.table(spark, sf, "lineitem").selectExpr(*ORD, f"{_DATE_TEXT} AS text")
     return rows.select(*ORD, dates.date_in_text(c("text"), as_of()).alias("day"))
 
 
@@ -279,7 +279,7 @@ _HTML = (f"(CASE l_linenumber % 4 WHEN 0 THEN '{{\"postedOn\" : \"06/0' || CAST(
 
 @query("x10_date_html", f"SELECT {KEYS}, CASE l_linenumber % 4 WHEN 0 THEN '2026-06-0' || CAST(l_suppkey % 9 + 1 AS VARCHAR) WHEN 1 THEN CAST({_D} AS VARCHAR) ELSE {_DATE_WANT} END AS day FROM lineitem")
 def x10(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem").selectExpr(*ORD, f"{_HTML} AS html")
+    rows = sample.table(spark, sf, "lineitem").selectExpr(*ORD, f"{_HTML} AS html")
     return rows.select(*ORD, dates.date_in_html(c("html"), as_of()).alias("day"))
 
 
@@ -289,7 +289,7 @@ _RAW_DATE = ("(CASE l_partkey % 10 WHEN 0 THEN '2026-06-04' WHEN 1 THEN '13/45/2
 
 @query("x11_iso_date", f"SELECT {KEYS}, CASE WHEN l_partkey % 10 IN (0, 2, 3, 4, 5, 6) THEN '2026-06-04' WHEN l_partkey % 10 = 1 THEN '2026-13-45' END AS day FROM lineitem")
 def x11(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem").selectExpr(*ORD, f"{_RAW_DATE} AS raw")
+    rows = sample.table(spark, sf, "lineitem").selectExpr(*ORD, f"{_RAW_DATE} AS raw")
     return rows.select(*ORD, dates.iso_date(c("raw")).alias("day"))
 
 
@@ -302,7 +302,7 @@ _ICIMS = {
 
 @query("x12_icims_location", f"SELECT {KEYS}, CASE l_partkey % 8 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Fort Myers, FL' WHEN 2 THEN 'USA' WHEN 3 THEN 'Chantilly, VA, US' WHEN 4 THEN 'Tampa, FL' WHEN 5 THEN 'Miami FL' WHEN 6 THEN 'Nationwide' END AS place FROM lineitem")
 def x12(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem").selectExpr(*ORD, *[f"{v} AS {k}" for k, v in _ICIMS.items()])
+    rows = sample.table(spark, sf, "lineitem").selectExpr(*ORD, *[f"{v} AS {k}" for k, v in _ICIMS.items()])
     return rows.select(*ORD, pages.icims_location(c("title"), c("body"), c("html")).alias("place"))
 
 
@@ -312,7 +312,7 @@ _CODES = ("(CASE l_partkey % 8 WHEN 0 THEN 'at US-FL-Miami' WHEN 1 THEN 'US-TN-M
 
 @query("x13_icims_code", f"SELECT {KEYS}, CASE l_partkey % 8 WHEN 0 THEN 'Florida' WHEN 1 THEN 'US-ONSITE' WHEN 2 THEN 'INTL:LB' WHEN 3 THEN 'INTL:DE' WHEN 5 THEN 'Remote' WHEN 7 THEN 'Remote' END AS code FROM lineitem")
 def x13(spark, sf):
-    rows = sample.spread_table(spark, sf, "lineitem").selectExpr(*ORD, f"{_CODES} AS html")
+    rows = sample.table(spark, sf, "lineitem").selectExpr(*ORD, f"{_CODES} AS html")
     return rows.select(*ORD, pages.icims_code(c("html")).alias("code"))
 
 

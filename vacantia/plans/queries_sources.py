@@ -29,20 +29,20 @@ def s03(spark, sf):
     return boards.normalise(raw(spark, sf), "Greenhouse").withColumn("departments", F.array_join("departments", "|"))
 
 
-@query("s04_ashby", R + f"""SELECT {_common('title', ats='Ashby')}, coalesce(title, '') AS title, substr(location, 1, 50) AS location,
+@query("s04_ashby", R + f"""SELECT {_common('title', ats='Ashby')}, coalesce(title, '') AS title, location,
     'https://jobs.ashbyhq.com/' || raw_slug || '/' || CAST(job_no AS VARCHAR) AS url FROM r WHERE ats = 'Ashby' AND status_code = 200""")
 def s04(spark, sf):
     return boards.normalise(raw(spark, sf), "Ashby")
 
 
-@query("s05_bamboohr", R + f"""SELECT {_common('title', ats='BambooHR')}, title, substr(full_loc, 1, 50) AS location, full_loc AS geo_location,
+@query("s05_bamboohr", R + f"""SELECT {_common('title', ats='BambooHR')}, title, full_loc AS location,
     'https://' || raw_slug || '.bamboohr.com/careers/' || CAST(job_no AS VARCHAR) AS url FROM (SELECT *, coalesce(nullif(concat_ws(', ', nullif(city, ''), nullif(state, '')), ''), 'Not specified') AS full_loc FROM r)
     WHERE ats = 'BambooHR' AND status_code = 200 AND contains(content_type, 'application/json')""")
 def s05(spark, sf):
     return boards.normalise(raw(spark, sf), "BambooHR")
 
 
-@query("s06_lever", R + f"""SELECT {_common('title', ats='Lever')}, title, substr(location, 1, 50) AS location, url FROM r WHERE ats = 'Lever' AND status_code = 200""")
+@query("s06_lever", R + f"""SELECT {_common('title', ats='Lever')}, title, location, url FROM r WHERE ats = 'Lever' AND status_code = 200""")
 def s06(spark, sf):
     return boards.normalise(raw(spark, sf), "Lever")
 
@@ -66,7 +66,7 @@ def w06(spark, sf):
     return pages.groupBy("slug").agg(F.count("*").alias("pages"), F.max(c("offset").cast("bigint")).alias("last_offset"))
 
 
-@query("s07_workday", _PAGES + f""" SELECT {_common('title', slug="split_part(raw_slug, '|', 1)", ats='Workday')}, title, CASE WHEN location = '' THEN 'Not specified' ELSE substr(location, 1, 50) END AS location,
+@query("s07_workday", _PAGES + f""" SELECT {_common('title', slug="split_part(raw_slug, '|', 1)", ats='Workday')}, title, CASE WHEN location = '' THEN 'Not specified' ELSE location END AS location,
     'https://' || split_part(raw_slug, '|', 1) || '.' || split_part(raw_slug, '|', 2) || '.myworkdayjobs.com/ext/job/p' || CAST(job_no AS VARCHAR) AS url FROM good""")
 def s07(spark, sf):
     return boards.normalise(raw(spark, sf), "Workday")
@@ -87,10 +87,16 @@ def e1(spark, sf):
     return boards.all_postings(raw(spark, sf), "2026-06-14 12:00:00").groupBy("ats", "source").agg(F.count("*").alias("n"))
 
 
-@query("a01_fetch_results", R + f"""SELECT ats, count(DISTINCT raw_slug) AS checked, CAST(sum(CASE WHEN status_code <> 200 OR (ats = 'BambooHR' AND NOT contains(content_type, 'application/json')) THEN 0
-    WHEN ats = 'Greenhouse' THEN 2 WHEN ats = 'iCIMS' THEN 3 WHEN ats = 'Workday' AND job_no % 59 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS jobs FROM r GROUP BY ats""")
+@query("a01_fetch_results", _PAGES + """, n AS (
+        SELECT ats, raw_slug, CASE ats WHEN 'Greenhouse' THEN 2 ELSE 1 END AS jobs FROM r
+        WHERE status_code = 200 AND ats <> 'Workday' AND (ats <> 'BambooHR' OR contains(content_type, 'application/json'))
+        UNION ALL SELECT 'Workday', raw_slug, 1 FROM good),
+    st AS (SELECT ats, raw_slug, max(CASE WHEN ats = 'BambooHR' AND status_code = 200 AND NOT contains(content_type, 'application/json') THEN 404 ELSE status_code END) AS status FROM r GROUP BY 1, 2),
+    b AS (SELECT st.ats, st.raw_slug, status, coalesce((SELECT sum(jobs) FROM n WHERE n.ats = st.ats AND n.raw_slug = st.raw_slug), 0) AS jobs FROM st)
+    SELECT ats, count(*) AS checked, count(*) FILTER (WHERE jobs > 0) AS active, count(*) FILTER (WHERE jobs = 0) AS failed,
+    count(*) FILTER (WHERE jobs = 0 AND status IN (404, 410)) AS newly_dead, CAST(sum(jobs) AS BIGINT) AS jobs FROM b GROUP BY ats""")
 def a01_fetch(spark, sf):
-    return reports.fetch_report(boards.fetch_results(raw(spark, sf))).select("ats", "checked", "jobs")
+    return reports.fetch_report(boards.fetch_results(raw(spark, sf)))
 
 
 # ---- watched boards -------------------------------------------------------------
@@ -116,23 +122,21 @@ def s11(spark, sf):
 
 
 def searched(spark, sf):
-    """Workday pages of the search terms with small offsets, so that the hit limit bites."""
+    """Workday pages of the search terms with small offsets, so that many tie."""
     return raw(spark, sf).withColumn("offset", F.expr("offset % 150"))
 
 
 _HITS = R + f""", h AS (SELECT *, list_position([{", ".join(sql.quoted(t) for t in fixed.WORKDAY_SEARCH_TERMS)}], term) AS t, job_no % 150 AS off, '/job/p' || CAST(job_no AS VARCHAR) AS path
-    FROM r WHERE ats = 'Workday' AND status_code = 200 AND raw_slug <> 'bad|slug' AND job_no % 59 <> 0 AND term <> 'other' AND job_no % 150 < 100)"""
+    FROM r WHERE ats = 'Workday' AND status_code = 200 AND raw_slug <> 'bad|slug' AND job_no % 59 <> 0 AND term <> 'other')"""
 
 
-@query("s12_watched_workday_totals", _HITS + """, k AS (SELECT *, row_number() OVER (PARTITION BY raw_slug, t ORDER BY off, path) AS rn FROM h)
-    SELECT raw_slug AS slug, count(DISTINCT path) AS hits FROM k WHERE rn <= 100 GROUP BY raw_slug""")
+@query("s12_watched_workday_totals", _HITS + """ SELECT raw_slug AS slug, count(DISTINCT path) AS hits FROM h GROUP BY raw_slug""")
 def s12_totals(spark, sf):
     rows = watch_list.workday(searched(spark, sf), watched(spark, sf))
     return rows.groupBy(c("company_slug").alias("slug")).agg(F.count("*").alias("hits"))
 
 
-@query("s12_watched_workday", _HITS + f""", k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw_slug, t ORDER BY off, path) AS place FROM h) WHERE place <= 100),
-    u AS (SELECT *, row_number() OVER (PARTITION BY raw_slug, path ORDER BY t, off) AS rn FROM k)
+@query("s12_watched_workday", _HITS + f""", u AS (SELECT *, row_number() OVER (PARTITION BY raw_slug, path ORDER BY t, off) AS rn FROM h)
     SELECT {sql.job_id("'workday'", 'raw_slug', 'path')} AS job_id, 'https://' || split_part(raw_slug, '|', 1) || '.' || split_part(raw_slug, '|', 2) || '.myworkdayjobs.com/ext' || path AS application_url
     FROM u WHERE rn = 1""")
 def s12(spark, sf):

@@ -333,8 +333,8 @@ _DEAD_ATS = "CASE WHEN ats = 'Ashby' THEN 404 ELSE http_status END"
 
 
 @query("a11_url_health", f"WITH pr AS ({sample.as_sql({**sample.PROBES, 'ats': _ATS}, 'events')})" + f""",
-    r AS (SELECT *, row_number() OVER (PARTITION BY ats ORDER BY event_id) AS rn FROM (SELECT * REPLACE ({_DEAD_ATS} AS http_status) FROM pr) WHERE url <> ''),
-    g AS (SELECT ats, count(*) AS total, count(*) FILTER (WHERE CASE WHEN http_status = 405 THEN get_status ELSE http_status END < 400) AS alive FROM r WHERE rn <= 10 GROUP BY ats),
+    r AS (SELECT * FROM (SELECT * REPLACE ({_DEAD_ATS} AS http_status) FROM pr) WHERE url <> ''),
+    g AS (SELECT ats, count(*) AS total, count(*) FILTER (WHERE CASE WHEN http_status = 405 THEN get_status ELSE http_status END < 400) AS alive FROM r GROUP BY ats),
     n AS (SELECT unnest([{", ".join(sql.quoted(x) for x in fixed.ATS_NAMES)}]) AS ats),
     v AS (SELECT n.ats, coalesce(alive, 0) AS alive, coalesce(total, 0) AS total FROM n LEFT JOIN g ON g.ats = n.ats)
     SELECT ats, alive, total, CASE WHEN total = 0 THEN 'NO_URLS' WHEN alive = 0 THEN 'PATTERN_BROKEN' WHEN alive < total * 0.5 THEN 'DEGRADED' ELSE 'OK' END AS status,
@@ -342,7 +342,7 @@ _DEAD_ATS = "CASE WHEN ats = 'Ashby' THEN 404 ELSE http_status END"
     THEN 'The built URL is likely stale (you construct this URL)' ELSE 'The provider API shape likely changed (URL is pass-through)' END AS note FROM v""")
 def a11(spark, sf):
     rows = sample.table(spark, sf, "events").selectExpr(*sample.select_list({**sample.PROBES, "ats": _ATS}))
-    return reports.url_health(rows.withColumn("http_status", F.expr(_DEAD_ATS)), ["event_id"])
+    return reports.url_health(rows.withColumn("http_status", F.expr(_DEAD_ATS)))
 
 
 _OK = "(http_status = 200 AND job_count > 0)"

@@ -31,7 +31,7 @@ def write_chunks(postings, folder, last_updated, rows=fixed.CHUNK_ROWS):
         for n in SLIM_COLUMNS
     ]
     lines = numbered.select("chunk", "row_number", F.to_json(F.struct(*fields)).alias("line"))
-    name = F.concat(F.lit("jobs_chunk_"), F.col("chunk"))
+    name = F.concat(F.lit("jobs_chunk_"), F.col("chunk"), F.lit(".json.gz"))
     documents = lines.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("row_number", "line"))).alias("l")).select(
         name.alias("name"), F.concat(F.lit("["), F.array_join("l.line", ",\n"), F.lit("]")).alias("value")
     )
@@ -45,7 +45,7 @@ def chunk_manifest(numbered, last_updated):
     """Chunk names, row total and stamp as one row."""
     per_chunk = numbered.groupBy("chunk").agg(F.count("*").alias("rows"))
     names = F.transform(
-        F.sort_array(F.collect_list("chunk")), lambda i: F.concat(F.lit("name=jobs_chunk_"), i.cast("string"))
+        F.sort_array(F.collect_list("chunk")), lambda i: F.concat(F.lit("jobs_chunk_"), i.cast("string"), F.lit(".json.gz"))
     )
     return per_chunk.agg(
         names.alias("chunks"), F.coalesce(F.sum("rows"), F.lit(0)).alias("totalJobs"), F.lit(last_updated).alias("last_updated")

@@ -40,7 +40,8 @@ def read_chunks(spark, folder):
     # a chunk is a file, or a folder with one file as Spark writes it
     parts = F.split("_path", "/")
     leaf, parent = F.element_at(parts, -1), F.element_at(parts, -2)
-    rows = rows.withColumn("_name", F.when(leaf.startswith("part-"), parent).otherwise(leaf))
+    folder_name = F.regexp_replace(parent, "^name=", "")
+    rows = rows.withColumn("_name", F.when(leaf.startswith("part-"), folder_name).otherwise(leaf))
     return with_coords(rows.join(named, "_name", "left_semi").drop("_name", "_path"))
 
 
@@ -60,19 +61,42 @@ def manifest_check(manifest, postings):
     return counts.agg(F.max("announced").alias("announced"), F.max("found").alias("found"))
 
 
-def read_strings(spark, path):
-    """A JSON array of strings as distinct rows of ``value``; none where the file is missing."""
-    read = or_empty(spark, lambda: spark.read.text(path, wholetext=True), "value string")
-    items = F.explode(F.from_json("value", "array<string>"))
-    return read.select(items.alias("value")).distinct()
+def _texts(spark, path):
+    return or_empty(
+        spark, lambda: spark.read.option("recursiveFileLookup", True).text(path, wholetext=True), "value string")
+
+
+def _objects(text, fields):
+    """The objects of a file that holds one in each line, as Spark writes tables."""
+    lines = F.filter(F.split(text, "\n"), lambda line: F.startswith(line, F.lit("{")))
+    return F.transform(lines, lambda line: F.from_json(line, fields))
+
+
+def read_slugs(spark, path, fields="slug string, platform string"):
+    """``slug, platform`` of a list: one JSON array of strings, or the rows of a written table.
+
+    Distinct; none where the file is missing or malformed. Strings have no platform.
+    """
+    strings = F.transform(F.from_json("value", "array<string>"), lambda s: F.struct(
+        s.alias("slug"), F.lit(None).cast("string").alias("platform")))
+    rows = _texts(spark, path).select(F.explode(F.coalesce(strings, _objects(F.col("value"), fields))).alias("row"))
+    return rows.select("row.slug", "row.platform").filter("slug IS NOT NULL").distinct()
 
 
 def read_companies(spark, path, ats):
-    return read_strings(spark, path).select(F.lit(ats).alias("ats"), F.col("value").alias("slug"))
+    return read_slugs(spark, path).select(F.lit(ats).alias("ats"), "slug").distinct()
 
 
 def read_dead_slugs(spark, path, platform):
-    return read_strings(spark, path).select(F.lit(platform).alias("platform"), F.col("value").alias("slug"))
+    """Dead slugs of one platform, from its own list or from the table of all platforms."""
+    rows = read_slugs(spark, path).filter(F.col("platform").isNull() | (F.col("platform") == platform))
+    return rows.select(F.lit(platform).alias("platform"), "slug").distinct()
+
+
+def read_active_companies(spark, path):
+    """``slug, jobs`` as ``write_active_companies`` writes them."""
+    schema = "slug string, jobs bigint"
+    return or_empty(spark, lambda: spark.read.schema(schema).json(path), schema)
 
 
 def read_gazetteer(spark, path):
@@ -101,9 +125,14 @@ def read_salary_lookup(spark, path):
 
 
 def read_salary_shards(spark, folder):
-    """``key, salary`` of the shard files, each one map document."""
-    docs = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    return docs.select(F.explode(F.from_json("value", _SALARIES)).alias("key", "salary"))
+    """``key, salary`` of shard files, each one map document, or of written shards, a row a line."""
+    docs = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder, wholetext=True)
+    written = F.startswith("value", F.lit('{"key":'))
+    fields = f"key string, salary {_SALARIES[11:-1]}"
+    maps = F.map_entries(F.from_json(F.when(~written, F.col("value")), _SALARIES))
+    pairs = F.transform(maps, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("salary")))
+    rows = F.coalesce(pairs, _objects(F.when(written, F.col("value")), fields))
+    return docs.select(F.explode(rows).alias("row")).select("row.*")
 
 
 TREND = (
@@ -131,9 +160,13 @@ def read_seen(spark, path):
 
 def read_statuses(spark, path):
     """User status map ``key -> {status, date or timestamp}``; corrupt files mean none."""
-    read = or_empty(spark, lambda: spark.read.text(path, wholetext=True), "value string")
+    return parse_statuses(or_empty(spark, lambda: spark.read.text(path, wholetext=True), "value string"))
+
+
+def parse_statuses(documents):
+    """Entries of status maps, one document in each ``value``."""
     entries = F.explode(F.from_json("value", "map<string,struct<status:string,date:string,timestamp:string>>"))
-    rows = read.select(entries.alias("key", "entry"))
+    rows = documents.select(entries.alias("key", "entry"))
     return rows.select(
         "key", "entry.status", F.try_to_timestamp(F.coalesce("entry.date", "entry.timestamp")).alias("ts")
     )
@@ -158,9 +191,14 @@ def read_candidates(spark, path):
 
 
 def read_jobs_db(spark, path):
-    """Rows of the ``jobs`` array inside the envelope."""
+    """Rows of the ``jobs`` array inside the envelope, or of the table ``write_jobs_db`` writes."""
     from vacantia.schemas import VERIFIED_JOB
 
+    try:
+        return spark.read.schema(VERIFIED_JOB).json(f"{path}/jobs")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
     fields = ", ".join(f.strip().replace(" ", ":", 1) for f in VERIFIED_JOB.split(","))
     doc = _document(spark, path, f"last_updated string, total bigint, jobs array<struct<{fields}>>")
     return doc.select(F.explode("jobs").alias("job")).select("job.*")

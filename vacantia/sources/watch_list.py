@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.functions.classify import job_id
-from vacantia.functions.text import first_non_empty, strip, trim_to
+from vacantia.functions.text import first_non_empty, strip
 from vacantia.operators.joins import first_per_group
 from vacantia.sources.boards import WORKDAY_BODY
 
+#: The last millisecond of the year 9999; later stamps are not dates.
+LAST_MILLISECOND = 253_402_300_799_999
 WATCHED = "platform string, slug string, name string, tags array<string>"
 
 
@@ -40,7 +42,7 @@ def _alert_rows(jobs, ats, raw_id, title, location, url, date):
         job_id(F.lit(ats), F.col("slug"), raw_id).alias("job_id"),
         strip(F.coalesce(title, F.lit(""))).alias("title"),
         F.coalesce("name", "slug").alias("company"), F.col("slug").alias("company_slug"),
-        trim_to(F.coalesce(location, F.lit("")), 120).alias("location"),
+        strip(F.coalesce(location, F.lit(""))).alias("location"),
         F.coalesce(url, F.lit("")).alias("application_url"),
         date.alias("date_posted"), F.lit(ats).alias("platform_source"),
     )
@@ -58,17 +60,19 @@ def greenhouse(raw, watched):
 
 def lever(raw, watched):
     body = "array<struct<id:string,text:string,hostedUrl:string,createdAt:bigint,categories:struct<location:string>>>"
-    jobs = _answered(raw, watched, "Lever").select("slug", "name", F.explode(F.from_json("body", body)).alias("job"))
+    answered = _answered(raw, watched, "Lever").filter(F.startswith(F.ltrim("body"), F.lit("[")))
+    jobs = answered.select("slug", "name", F.explode(F.from_json("body", body)).alias("job"))
     job = F.col("job")
-    created = F.when(job["createdAt"] != 0, F.to_date(F.timestamp_millis(job["createdAt"])))
+    known = (job["createdAt"] != 0) & job["createdAt"].between(-LAST_MILLISECOND, LAST_MILLISECOND)
+    created = F.when(known, F.to_date(F.timestamp_millis(F.when(known, job["createdAt"]))))
     return _alert_rows(
         jobs, "Lever", F.coalesce(first_non_empty(job["id"], job["hostedUrl"]), F.lit("")), job["text"],
         job["categories"]["location"], job["hostedUrl"], created,
     )
 
 
-def workday(raw, watched, terms=None, per_term=fixed.WORKDAY_HITS_PER_TERM):
-    """Hits of the search terms: the first hundred per board and term, each path once.
+def workday(raw, watched, terms=None):
+    """All landed hits of the search terms, each path of a board once.
 
     ``raw`` carries the ``search_term`` of every landed page.
     """
@@ -76,14 +80,13 @@ def workday(raw, watched, terms=None, per_term=fixed.WORKDAY_HITS_PER_TERM):
     rank = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("search_term"))
     pages = (
         _answered(raw, watched, "Workday")
-        .filter((F.size(F.split("slug", r"\|")) == 3) & F.col("search_term").isin(terms) & (F.col("offset") < per_term))
+        .filter((F.size(F.split("slug", r"\|")) == 3) & F.col("search_term").isin(terms))
     )
     hits = pages.select(
         "slug", "name", rank.alias("_term"), "offset",
         F.posexplode(F.from_json("body", WORKDAY_BODY)["jobPostings"]).alias("_at", "job"),
     ).withColumn("path", F.coalesce("job.externalPath", F.lit("")))
-    kept = first_per_group(hits, ["slug", "_term"], ["offset", "_at", "path"], n=per_term).filter("path <> ''")
-    once = first_per_group(kept, ["slug", "path"], ["_term", "offset", "_at"])
+    once = first_per_group(hits.filter("path <> ''"), ["slug", "path"], ["_term", "offset", "_at"])
     company, number, site = [F.get(F.split("slug", r"\|"), F.lit(i)) for i in range(3)]
     url = F.concat(
         F.lit("https://"), company, F.lit(".wd"), F.regexp_replace(number, "^[wd]+", ""),

@@ -1,13 +1,14 @@
 """The recurring jobs as streams over landing folders."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vacantia import fixed_values as fixed
 from vacantia.operators import facets, merge, seen
 from vacantia.operators.joins import last_per_group
 from vacantia.plans.jobs import alert_cycle
 from vacantia.schemas import STATE_SEEN
-from vacantia.streaming.tables import fold, read_version, version_path
+from vacantia.streaming.tables import fold, read_version, version_before, version_path
 
 
 def files(spark, path, schema, per_batch=1, file_format="parquet"):
@@ -21,16 +22,20 @@ def _last_day(batch, name):
 
 
 def seen_stream(sightings, path, checkpoint, days=fixed.PRUNE_DAYS, initial=None):
-    """Seen state over ``job_id, day``: expiry counts from the last sighting of an id."""
+    """Seen state over ``job_id, day``: expiry counts from the last sighting of an id.
+
+    A batch without sightings has no day and leaves the state as it is.
+    """
     def step(batch, state):
-        return seen.next_state(batch, state, _last_day(batch, "day"), days)
+        day = _last_day(batch, "day")
+        return state if day is None else seen.next_state(batch, state, day, days)
 
     return fold(sightings, path, STATE_SEEN, step, checkpoint, initial)
 
 
 def merge_stream(scrapes, path, checkpoint, as_of, order, days=fixed.RETENTION_DAYS, initial=None):
     """Rolling table of postings: every landed scrape is laid over the kept rows."""
-    schema = scrapes.schema.add("posting_key", "string")
+    schema = StructType([*scrapes.schema.fields, StructField("posting_key", StringType())])
 
     def step(batch, state):
         return merge.merge(state.drop("posting_key"), batch, as_of, order, days)
@@ -45,7 +50,7 @@ def alert_stream(postings, snapshots, path, checkpoint, as_of, row_id, keep=(),
     """
     def on_batch(batch, epoch):
         spark = batch.sparkSession
-        state = seen.empty_state(spark) if epoch == 0 else read_version(spark, f"{path}/state", epoch - 1, STATE_SEEN)
+        state = version_before(spark, f"{path}/state", epoch, STATE_SEEN)
         cycle = alert_cycle(
             batch, snapshots, state, as_of(epoch), row_id=row_id, keep=keep, days=days,
             verified_at=version_path(f"{path}/verified", epoch), **answers)

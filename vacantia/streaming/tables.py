@@ -15,7 +15,23 @@ def version_path(path, version):
 
 
 def read_version(spark, path, version, schema):
-    return or_empty(spark, lambda: spark.read.schema(schema).parquet(version_path(path, version)), schema)
+    """A version that must be there: a missing one is an error, not an empty state."""
+    return spark.read.schema(schema).parquet(version_path(path, version))
+
+
+def version_before(spark, path, epoch, schema, initial=None):
+    """State that batch ``epoch`` starts from.
+
+    The first batch starts from ``initial`` (or nothing), but only where no version exists:
+    after a lost checkpoint epochs count from 0 again, and then going on would overwrite
+    what is there.
+    """
+    if epoch > 0:
+        return read_version(spark, path, epoch - 1, schema)
+    newest = latest_version(spark, path)
+    if newest is not None and newest > 0:
+        raise ValueError(f"{path} holds version {newest}, but the stream starts at batch 0: restore its checkpoint")
+    return initial if initial is not None else spark.createDataFrame([], schema)
 
 
 def latest_version(spark, path):
@@ -41,10 +57,7 @@ def fold(stream, path, schema, step, checkpoint, initial=None, also=None):
     """
     def on_batch(batch, epoch):
         spark = batch.sparkSession
-        if epoch == 0:
-            state = initial if initial is not None else spark.createDataFrame([], schema)
-        else:
-            state = read_version(spark, path, epoch - 1, schema)
+        state = version_before(spark, path, epoch, schema, initial)
         if also is not None:
             also(batch, state, epoch)
         step(batch, state).write.mode("overwrite").parquet(version_path(path, epoch))
