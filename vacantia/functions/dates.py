@@ -5,15 +5,6 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fixed
 from vacantia.functions.text import strip
 
-# fixed patterns
-DAYS_AGO = r"(?i)(\d+)\s+days?\s+ago"
-POSTED = (
-    r"(?i)posted(?:\s+on)?\s*[:\-]?\s*(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}"
-    r"|(?:" + "|".join(fixed.MONTHS) + r")\w{0,6}\.?\s+\d{1,2},?\s+\d{4})"
-)
-POSTED_ON_JSON = r'(?i)"postedOn"\s*:\s*"([^"]+)"'
-TIME_TAG = r'(?i)<time[^>]+datetime="(\d{4}-\d{2}-\d{2})'
-
 
 def iso_date(raw):
     """ISO text of an ISO, m/d/y or month-name date; null otherwise."""
@@ -36,12 +27,12 @@ def iso_date(raw):
 
 
 def days_ago(text, as_of):
-    days = F.regexp_extract(text, DAYS_AGO, 1).try_cast("int")
+    days = F.regexp_extract(text, fixed.DAYS_AGO, 1).try_cast("int")
     return F.when(days <= 365, F.date_format(F.date_sub(as_of, days), "yyyy-MM-dd"))
 
 
 def posted_label(text):
-    return iso_date(F.regexp_extract(text, POSTED, 1))
+    return iso_date(F.regexp_extract(text, fixed.POSTED, 1))
 
 
 def date_in_text(text, as_of):
@@ -50,9 +41,9 @@ def date_in_text(text, as_of):
 
 def date_in_html(html, as_of):
     """Older cascade: embedded JSON, time tag, days ago, posted label."""
-    tag = F.regexp_extract(html, TIME_TAG, 1)
+    tag = F.regexp_extract(html, fixed.TIME_TAG, 1)
     return F.coalesce(
-        iso_date(F.regexp_extract(html, POSTED_ON_JSON, 1)),
+        iso_date(F.regexp_extract(html, fixed.POSTED_ON_JSON, 1)),
         F.when(tag != "", tag),
         days_ago(html, as_of),
         posted_label(html),

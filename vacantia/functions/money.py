@@ -5,14 +5,6 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fixed
 from vacantia.functions.text import bind, non_empty
 
-# fixed patterns
-RANGE_A_YEAR = (
-    r"(?i)\$\s*(\d{1,3}(?:,\d{3})*)\s*[k]?\s*[-–—]\s*\$?\s*(\d{1,3}(?:,\d{3})*)\s*[k]?\s*"
-    r"(?:a\s+year|per\s+year|annually|/year|/yr)\b"
-)
-SINGLE_A_YEAR = r"(?i)\$\s*(\d{1,3}(?:,\d{3})*)\s*[k]?\s*(?:a\s+year|per\s+year|annually|/year|/yr)\b"
-DOLLARS = r"(?i)\$\s*(\d{1,3}(?:,\d{3})*|\d+)\s*[k]?\s*(?:[-–—]\s*\$?\s*(\d{1,3}(?:,\d{3})*|\d+)\s*[k]?)?"
-
 
 def _yearly(digits):
     value = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
@@ -46,10 +38,10 @@ def salary_near_labels(text, labels):
     names = F.split(F.lit("|".join(labels)), r"\|")
     spots = bind(F.lower(text), lambda low: F.transform(names, lambda n: F.instr(low, n)))
     around = F.transform(F.filter(spots, lambda at: at > 0), lambda at: _around(text, at))
-    amounts = F.flatten(F.transform(around, lambda t: F.regexp_extract_all(t, F.lit(DOLLARS), F.lit(0))))
+    amounts = F.flatten(F.transform(around, lambda t: F.regexp_extract_all(t, F.lit(fixed.DOLLARS), F.lit(0))))
     found = F.transform(
         amounts,
-        lambda a: salary_label(F.regexp_extract(a, DOLLARS, 1), F.regexp_extract(a, DOLLARS, 2)),
+        lambda a: salary_label(F.regexp_extract(a, fixed.DOLLARS, 1), F.regexp_extract(a, fixed.DOLLARS, 2)),
     )
     return F.get(F.filter(found, lambda s: s.isNotNull()), F.lit(0))
 
@@ -64,9 +56,9 @@ def salary_text(text, passes=("range", "single", "label"), labels=None):
     labels = labels or fixed.SALARY_LABELS
     makers = {
         "range": lambda: salary_label(
-            F.regexp_extract(text, RANGE_A_YEAR, 1), F.regexp_extract(text, RANGE_A_YEAR, 2)
+            F.regexp_extract(text, fixed.RANGE_A_YEAR, 1), F.regexp_extract(text, fixed.RANGE_A_YEAR, 2)
         ),
-        "single": lambda: salary_label(F.regexp_extract(text, SINGLE_A_YEAR, 1), F.lit("")),
+        "single": lambda: salary_label(F.regexp_extract(text, fixed.SINGLE_A_YEAR, 1), F.lit("")),
         "label": lambda: salary_near_labels(text, labels),
     }
     return F.when(F.contains(text, F.lit("$")), F.coalesce(*[makers[p]() for p in passes]))

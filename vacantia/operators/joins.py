@@ -1,7 +1,11 @@
 """Joins and first-row picks that stay even when one key holds much of the table."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 
 def _order(columns):
@@ -14,14 +18,20 @@ def lookup_join(left, right, on, how="left"):
     A result grouped by ``on`` is already partitioned by it, so Spark would join it in
     place and a hot key of ``left`` would end in one task. The extra hash key asks for a
     fresh shuffle of both sides, which is the shape AQE can split into even parts. Where
-    ``right`` proves small at run time AQE turns the join into a broadcast instead.
+    ``right`` proves small at run time AQE turns the join into a broadcast instead. Rows with
+    a null key match nothing; they are dealt out by their other columns, not into one task.
     """
     on = [on] if isinstance(on, str) else list(on)
     key = F.xxhash64(*on)
+    right = right.dropna(subset=on)
     if how == "inner":
-        left, right = left.dropna(subset=on), right.dropna(subset=on)
+        left, spread = left.dropna(subset=on), key
+    else:
+        some = [f.name for f in left.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
+        no_key = reduce(or_, [F.col(c).isNull() for c in on])
+        spread = F.when(no_key, F.xxhash64(*[F.col(f"`{c}`") for c in some])).otherwise(key)
     return (
-        left.withColumn("_key_hash", key)
+        left.withColumn("_key_hash", spread)
         .join(right.withColumn("_key_hash", key), ["_key_hash", *on], how)
         .drop("_key_hash")
     )

@@ -67,24 +67,29 @@ def verification_counts(verified):
 def daily_trend(postings):
     """One row per ``date``: totals plus job counts by platform and by tier.
 
-    Rows are first reduced to one per day, platform and tier, so the maps are built from
-    a handful of counts.
+    The postings are read once, reduced to a row per day, platform, tier and company; the
+    totals and both maps come from one roll-up of those rows.
     """
-    cells = postings.groupBy("date", F.lower("ats").alias("ats"), "skill_level").agg(
+    cells = postings.groupBy("date", F.lower("ats").alias("ats"), "skill_level", "company_slug").agg(
         F.count("*").alias("n"), F.count_if(F.col("is_recruiter")).alias("recruiters")
     )
+    sums = cells.groupingSets(
+        [["date"], ["date", "ats"], ["date", "skill_level"]], "date", "ats", "skill_level"
+    ).agg(
+        F.sum("n").alias("n"), F.sum("recruiters").alias("recruiters"),
+        F.count_distinct("company_slug").alias("companies"), F.grouping_id().alias("level"),
+    )
+    total, by_ats, by_tier = (F.col("level") == k for k in (0b011, 0b001, 0b010))
 
-    def as_map(name, alias):
-        per = cells.groupBy("date", name).agg(F.sum("n").alias("n"))
-        entries = F.sort_array(F.collect_list(F.struct(F.col(name).alias("key"), F.col("n").alias("value"))))
-        return per.groupBy("date").agg(F.map_from_entries(entries).alias(alias))
+    def as_map(level, name):
+        entries = F.collect_list(F.when(level & F.col(name).isNotNull(), F.struct(F.col(name).alias("key"), F.col("n").alias("value"))))
+        return F.map_from_entries(F.sort_array(entries))
 
-    totals = cells.groupBy("date").agg(F.sum("n").alias("total_jobs"), F.sum("recruiters").alias("recruiter_jobs"))
-    active = postings.groupBy("date").agg(F.count_distinct("company_slug").alias("active_companies"))
-    return (
-        totals.join(active, "date").join(as_map("ats", "by_platform"), "date")
-        .join(as_map("skill_level", "by_tier"), "date")
-        .select("date", "total_jobs", "active_companies", "recruiter_jobs", "by_platform", "by_tier")
+    return sums.groupBy("date").agg(
+        F.max(F.when(total, F.col("n"))).alias("total_jobs"),
+        F.max(F.when(total, F.col("companies"))).alias("active_companies"),
+        F.max(F.when(total, F.col("recruiters"))).alias("recruiter_jobs"),
+        as_map(by_ats, "ats").alias("by_platform"), as_map(by_tier, "skill_level").alias("by_tier"),
     )
 
 

@@ -2,14 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from vacantia import fixed_values as fixed
 from vacantia.functions import pages
 from vacantia.functions.dates import date_in_text, days_ago
 from vacantia.functions.money import salary_text
 from vacantia.functions.text import first_non_empty, has_any, non_empty, strip
 from vacantia.operators.joins import last_per_group, lookup_join
 
-EMBED_SLUG = r"(?i)boards\.greenhouse\.io/embed/job_board(?:/js)?\?for=([a-z0-9\-_]+)"
-
 
 def latest_snapshots(snapshots, order=("fetched_at",)):
     """One snapshot per url, the last one fetched."""
@@ -44,7 +43,7 @@ def embed_verdicts(snapshots, board):
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
     domain = F.substring_index(F.regexp_replace(host, r"^(?:jobs\.|www\.|careers\.)", ""), ".", 1)
     embedded = snapshots.withColumn("posting_id", posting).filter("posting_id <> ''")
-    slugs = F.array(non_empty(F.regexp_extract(html, EMBED_SLUG, 1)), non_empty(linked), non_empty(domain))
+    slugs = F.array(non_empty(F.regexp_extract(html, fixed.EMBED_SLUG, 1)), non_empty(linked), non_empty(domain))
     tries = embedded.select("url", "posting_id", F.posexplode(slugs).alias("_try", "slug")).filter("slug IS NOT NULL")
     answers = latest_answers(board, ["slug", "posting_id"]).filter(F.col("status_code").isin(200, 404)).select(
         "slug", "posting_id",
@@ -63,10 +62,10 @@ def embed_verdicts(snapshots, board):
 def workday_parts(url):
     """struct(company, host, tenant, posting) of a Workday posting url, else null."""
     def part(i):
-        return F.regexp_extract(url, pages.WORKDAY_URL, i)
+        return F.regexp_extract(url, fixed.WORKDAY_URL, i)
 
     return F.when(
-        url.rlike(pages.WORKDAY_URL),
+        url.rlike(fixed.WORKDAY_URL),
         F.struct(
             part(1).alias("company"), F.concat(part(1), part(2)).alias("host"),
             part(3).alias("tenant"), part(4).alias("posting"),
@@ -165,7 +164,9 @@ def verify(jobs, snapshots, as_of, board=None, searches=None):
         searches = spark.createDataFrame(
             [], "host string, tenant string, posting string, status_code int, total int, "
                 "posted_on string, locations_text string")
-    landed = latest_snapshots(snapshots)
+    # only pages some job points to are read closely
+    wanted = jobs.select(strip(F.col("application_url")).alias("url")).filter("url <> ''").distinct()
+    landed = latest_snapshots(snapshots.join(wanted, "url", "left_semi"))
     facts = page_facts(landed, as_of).join(embed_verdicts(landed, board), "url", "left")
     rows = with_workday_answer(jobs.drop("date_posted"), searches, as_of)
     rows = lookup_join(

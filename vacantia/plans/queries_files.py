@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
-from vacantia.operators import facets, reports, seen
+from vacantia.operators import alerts, facets, reports, seen
 from vacantia.plans import jobs
 from vacantia.plans import oracle_parts as sql
 from vacantia.plans import sample_tables as sample
@@ -210,6 +210,22 @@ def e4(spark, sf):
         rows, sort="company", ascending=False, page_number=2, page_size=50, ties=["url", *ORD], skill_level="senior").select(*ORD, "company")
 
 
+@query("e2_file_chain", sql.ALERT.replace("FROM s WHERE", "FROM m2 WHERE").replace(", a AS (", f""", n2 AS (
+        SELECT *, l_linenumber > 4 AS side FROM s), u2 AS (SELECT *, {sql.posting_key("n2")} AS k FROM n2),
+        m2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY side DESC, coalesce(scraped_at, '') DESC, coalesce(title, '') DESC, url DESC, location DESC) AS rn
+        FROM u2 WHERE k IS NOT NULL AND (side OR {sql.fresh('scraped_at')})) WHERE rn = 1), a AS (""", 1) + f"""
+    SELECT platform_source, count(*) AS kept, count(DISTINCT application_url) AS urls FROM a WHERE {sql.KEPT} GROUP BY 1""")
+def e2(spark, sf):
+    """Published chunks are read, merged with a scrape, written again, read and filtered."""
+    rows = sample.slim_postings(spark, sf).withColumn("salary", F.lit(None).cast("struct<p25:bigint,median:bigint,p75:bigint,n:bigint>"))
+    first, second = folder(spark, "published"), folder(spark, "published")
+    sinks.write_chunks(rows.filter("l_linenumber <= 4"), first, AS_OF, rows=2500)
+    merged_rows = jobs.merge_scrape(sources.read_chunks(spark, first), rows.filter("l_linenumber > 4"), F.lit(AS_OF).cast("timestamp"))
+    sinks.write_chunks(merged_rows, second, AS_OF, rows=2500)
+    kept = alerts.filter_jobs(alerts.to_alert_jobs(sources.read_chunks(spark, second)))
+    return kept.groupBy("platform_source").agg(F.count("*").alias("kept"), F.count_distinct("application_url").alias("urls"))
+
+
 @query("t01_t07_alert_cycle", sql.ALERT + f""", k AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {KEYS}) AS rn FROM a WHERE {sql.KEPT})
     SELECT platform_source, count(*) AS open_jobs, count(*) FILTER (WHERE rn = 1) AS new_jobs FROM k GROUP BY 1""")
 def t01(spark, sf):
