@@ -15,11 +15,13 @@ STEP = U(texts.STEP)
 #: Bands and coordinates per band: a pair at similarity 0.8 misses all 32 bands of 5 with
 #: probability (1 - 0.8 ** 5) ** 32 < 4e-6.
 BANDS, ROWS = 32, 5
+#: Rounds of comparing the members of a bucket with one of them.
+STARS = 2
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
-#: Share of equal coordinates below which a pair is not worth an exact check: nearly five
-#: standard deviations under 0.8 at 160 coordinates.
-SKETCH_LEAST = 0.64
+#: Coordinates of the sketch that tells which open pairs are worth an exact check, and the
+#: share of them that has to agree: four and a half standard deviations under 0.8.
+SKETCH, SKETCH_LEAST = 320, 0.7
 
 
 def shingles(data, offsets, size):
@@ -99,15 +101,15 @@ def sketches(docs, shingle, bands=BANDS, rows=ROWS):
                 some = [sets[k] for k in full.tolist()]
                 keys, lists, heads = [None] * len(sets), [[]] * len(sets), [b""] * len(sets)
                 if some:
-                    signed = signatures(some, bands * rows)
+                    signed = signatures(some, max(SKETCH, bands * rows))
                     start = np.append(0, np.cumsum([len(s) for s in some[:-1]])).astype(np.int64)
                     flat = np.concatenate(some)
                     pair = np.stack([np.add.reduceat(texts.mix(flat), start), np.add.reduceat(texts.mix(flat ^ STEP), start)], 1)
                     banded = np.zeros((len(some), bands), U)
                     for r in range(rows):
-                        banded = texts.mix(banded * STEP + signed[:, r::rows] + np.arange(1, bands + 1, dtype=U))
+                        banded = texts.mix(banded * STEP + signed[:, r : bands * rows : rows] + np.arange(1, bands + 1, dtype=U))
                     for k, at in enumerate(full.tolist()):
-                        keys[at], heads[at] = pair[k].tobytes(), (signed[k] & 255).astype(np.uint8).tobytes()
+                        keys[at], heads[at] = pair[k].tobytes(), (signed[k, :SKETCH] & 255).astype(np.uint8).tobytes()
                         lists[at] = banded[k].view(np.int64).tolist()
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([
@@ -162,7 +164,7 @@ def verified(pairs, packed, shingle, percent):
 
 
 def _left_over(buckets, roots, sketch_of, percent):
-    """Pairs of a bucket that no star decided: in different components, neither the bucket's head.
+    """Pairs of a bucket that no star decided: in different components, neither the first head.
 
     A bucket is cut into blocks of about BLOCK members and each pair of blocks is one group,
     so a hot bucket is spread; only pairs whose sketches agree enough leave the task.
@@ -218,10 +220,11 @@ def near_duplicates(docs, shingle=5, percent=80, bands=BANDS, rows=ROWS, id_col=
     by links, itself included), kept (doc_id = component_id).
 
     1. Every text gets a circulant MinHash signature, cut into bands. Equal sets are one node.
-    2. Documents that share a band value share a bucket. Each is compared with the bucket's
-       first member; every comparison is exact, on the full sets.
-    3. Pairs of a bucket that this leaves open (three or more members, still in different
-       components) are compared by sketch inside blocks, and exactly if the sketches agree.
+    2. Documents that share a band value share a bucket. Each is compared with the member
+       that shares the most buckets; those that are not in its component then are compared
+       with one of them in the same way. Every comparison is exact, on the full sets.
+    3. Pairs of a bucket that this leaves open (still in different components) are compared
+       by sketch inside blocks, and exactly if the sketches agree.
 
     So every pair that meets in a bucket is decided, while equal or similar copies cost one
     comparison each. A text with no words has no shingles and no links (component_id is its
@@ -233,19 +236,34 @@ def near_duplicates(docs, shingle=5, percent=80, bands=BANDS, rows=ROWS, id_col=
     made = stored(sketches(documents(docs, id_col, text_col), shingle, bands, rows))
     filled = made.filter("n_shingles > 0")
     banded = filled.select(F.col("set_key").alias("x"), F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("x").alias("head"), F.max("x").alias("tail")).filter("head <> tail")
-    buckets = lookup_join(banded, heads.select("band", "head"), "band", "inner").distinct()
-    buckets = stored(buckets.select("band", "x", "head"))
+    shared = banded.groupBy("band").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high")
+    buckets = stored(lookup_join(banded, shared.select("band"), "band", "inner").select("band", "x").distinct())
     sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
     buckets = lookup_join(buckets, sizes, "band", "inner")
-    stars = stored(buckets.filter("x <> head").select("x", F.col("head").alias("y")).distinct())
-    wanted = buckets.select(F.col("x").alias("set_key")).distinct()
+    # what most others resemble shares the most buckets: it is the best one to compare with
+    degrees = buckets.groupBy("x").agg(F.sum(F.col("members") - 1).alias("degree"))
+    buckets = stored(lookup_join(buckets, degrees, "x", "inner").select("band", "x", "members", "degree"))
     packed = filled.groupBy("set_key").agg(
         F.first("packed").alias("packed"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    wanted = buckets.select(F.col("x").alias("set_key")).distinct()
     packed = stored(packed.join(wanted, "set_key", "left_semi"))
-    links = stored(verified(stars, packed, shingle, percent))
-    roots = components(links)
-    more = stored(verified(stored(_left_over(buckets, roots, packed, percent)), packed, shingle, percent))
+    links, open_rows, first_heads = None, buckets, None
+    for _ in range(STARS):
+        heads = open_rows.groupBy("band").agg(F.max(F.struct("degree", "x")).alias("top"), F.count("*").alias("n"))
+        heads = stored(heads.filter("n > 1").select("band", F.col("top.x").alias("head")))
+        first_heads = heads if first_heads is None else first_heads
+        stars = lookup_join(open_rows, heads, "band", "inner")
+        pairs = stars.filter("x <> head").select(F.least("x", "head").alias("x"), F.greatest("x", "head").alias("y")).distinct()
+        found = stored(verified(pairs, packed, shingle, percent))
+        links = found if links is None else links.union(found)
+        roots = components(links)
+        # those that are not with the head yet
+        of = lambda name, roots=roots: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+        stars = lookup_join(lookup_join(stars, of("x"), "x"), of("head"), "head")
+        open_rows = stored(stars.filter(
+            F.coalesce("root_x", "x") != F.coalesce("root_head", "head")).select("band", "x", "members", "degree"))
+    rest = _left_over(lookup_join(buckets, first_heads, "band", "inner"), roots, packed, percent)
+    more = stored(verified(stored(rest), packed, shingle, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
     owners = filled.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
