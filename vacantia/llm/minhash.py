@@ -163,54 +163,77 @@ def verified(pairs, packed, shingle, percent):
     return texts_of.mapInArrow(run, "u binary, v binary")
 
 
-def _left_over(buckets, roots, sketch_of, percent):
-    """Pairs of a bucket that no star decided: in different components, neither the first head.
+def _left_over(buckets, roots, packed, shingle, percent):
+    """Links among the pairs of a bucket that no star decided: in different components.
 
     A bucket is cut into blocks of about BLOCK members and each pair of blocks is one group,
-    so a hot bucket is spread; only pairs whose sketches agree enough leave the task.
+    so a hot bucket is spread. Pairs whose sketches agree enough are judged on their full
+    sets where they meet first, and only links leave the task.
     """
     rows = lookup_join(buckets, roots.select(F.col("node").alias("x"), "root"), "x")
     rows = rows.withColumn("root", F.coalesce("root", "x"))
     mixed = rows.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band")
+    # pairs with the bucket's first head are decided
     rows = lookup_join(rows.filter("members > 2 and x <> head"), mixed, "band", "inner")
-    rows = lookup_join(rows, sketch_of.select(F.col("set_key").alias("x"), "sketch", "n_shingles"), "x", "inner")
+    facts = packed.select(F.col("set_key").alias("x"), "sketch", "n_shingles", "bands", "packed")
+    rows = lookup_join(rows, facts, "x", "inner")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("b", F.pmod(F.hash("x"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select(
-        "band", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.col("b"), "x", "root", "sketch", "n_shingles")
+        "band", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.col("b"), "x", "root", "sketch",
+        "n_shingles", "bands", "packed")
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "x")
 
     def compare(members):
+        band, alike, n = members[0][0], members[0][1] == members[0][2], len(members)
         x, root = [m[4] for m in members], np.unique([m[5] for m in members], return_inverse=True)[1]
-        block = np.array([m[3] for m in members])
-        size = np.array([m[7] for m in members])
-        signed = np.frombuffer(b"".join(m[6] for m in members), np.uint8).reshape(len(members), -1)
-        alike = members[0][1] == members[0][2]
-        for k in range(len(members)):
-            ok = (root != root[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
-            ok &= (np.arange(len(members)) > k) & (alike | (block != block[k]))
-            at = np.flatnonzero(ok)
-            for other in at[(signed[at] == signed[k]).mean(1) >= SKETCH_LEAST].tolist():
-                yield x[k], x[other]
+        if root.max() == 0:
+            return
+        block, size = np.array([m[3] for m in members]), np.array([m[7] for m in members])
+        signed = np.frombuffer(b"".join(m[6] for m in members), np.uint8).reshape(n, -1)
+        bands = np.array([m[8] for m in members])
+        unpack, known = zstandard.ZstdDecompressor(), {}
+
+        def set_of(k):
+            if k not in known:
+                raw = np.frombuffer(unpack.decompress(members[k][9]), np.uint8)
+                known[k] = shingles(raw, np.array([0, len(raw)]), shingle)[0]
+            return known[k]
+
+        for k in range(n - 1):
+            ok = (root[k + 1 :] != root[k]) & (100 * np.minimum(size[k + 1 :], size[k]) >= percent * np.maximum(size[k + 1 :], size[k]))
+            if not alike:
+                ok &= block[k + 1 :] != block[k]
+            at = np.flatnonzero(ok) + k + 1
+            at = at[(signed[at] == signed[k]).mean(1) >= SKETCH_LEAST]
+            if not len(at):
+                continue
+            shared = bands[at] == bands[k]
+            at = at[bands[k][shared.argmax(1)] == band]  # of the buckets a pair shares the first counts
+            for other in at.tolist():
+                a, b = set_of(k), set_of(other)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    yield x[k], x[other]
 
     def run(batches):
-        group, found = [], []
+        group = []
         for batch in batches:
+            found = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and group[0][:3] != row[:3]:
                     found += compare(group)
                     group = []
                 group.append(row)
             yield _pairs(found)
-            found = []
         yield _pairs(list(compare(group)) if group else [])
 
-    return rows.mapInArrow(run, "x binary, y binary").distinct()
+    return rows.mapInArrow(run, "u binary, v binary")
 
 
 def _pairs(found):
     return pa.RecordBatch.from_arrays(
-        [pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], ["x", "y"])
+        [pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["u", "v"])
 
 
 def near_duplicates(docs, shingle=5, percent=80, bands=BANDS, rows=ROWS, id_col="doc_id", text_col="text", with_key=False):
@@ -244,7 +267,8 @@ def near_duplicates(docs, shingle=5, percent=80, bands=BANDS, rows=ROWS, id_col=
     degrees = buckets.groupBy("x").agg(F.sum(F.col("members") - 1).alias("degree"))
     buckets = stored(lookup_join(buckets, degrees, "x", "inner").select("band", "x", "members", "degree"))
     packed = filled.groupBy("set_key").agg(
-        F.first("packed").alias("packed"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        F.first("packed").alias("packed"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
+        F.first("bands").alias("bands"))
     wanted = buckets.select(F.col("x").alias("set_key")).distinct()
     packed = stored(packed.join(wanted, "set_key", "left_semi"))
     links, open_rows, first_heads = None, buckets, None
@@ -262,8 +286,7 @@ def near_duplicates(docs, shingle=5, percent=80, bands=BANDS, rows=ROWS, id_col=
         stars = lookup_join(lookup_join(stars, of("x"), "x"), of("head"), "head")
         open_rows = stored(stars.filter(
             F.coalesce("root_x", "x") != F.coalesce("root_head", "head")).select("band", "x", "members", "degree"))
-    rest = _left_over(lookup_join(buckets, first_heads, "band", "inner"), roots, packed, percent)
-    more = stored(verified(stored(rest), packed, shingle, percent))
+    more = stored(_left_over(lookup_join(buckets, first_heads, "band", "inner"), roots, packed, shingle, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
     owners = filled.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
