@@ -4,8 +4,11 @@ from vacantia.session import local_session, prepare
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = prepare(local_session("*", "tests", **{"spark.ui.showConsoleProgress": "false"}))
+def spark(tmp_path_factory):
+    # the shared folder of a run on one machine
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = prepare(local_session("*", "tests", **{
+        "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": f"{shared}/warehouse", "spark.checkpoint.dir": f"{shared}/checkpoints"}))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
