@@ -71,6 +71,23 @@ FROM q LEFT JOIN g ON q.source IS NOT DISTINCT FROM g.source AND q.odds = g.odds
 """
 
 
+SHARD_SQL = f"""
+WITH crc AS (  -- CRC-32 of each byte value
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS c FROM range(256) r(i))
+), h AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+d AS (
+  SELECT doc_id, source, (n + 8)::BIGINT AS size, md5('{shards.SEED}|' || coalesce(doc_id::VARCHAR, '')) AS shuffle,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+      lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT) AS text_crc32
+  FROM h, crc
+), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shuffle, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank + 1) / (2 * n), source NULLS LAST, shuffle, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM r),
+s AS (SELECT *, place * 24 // total AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (place - (shard * total + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM s
+"""
+
+
 @query("op1_pareto_mix", MIX_SQL)
 def op1(spark, sf_dir):
     """All documents mixed to weights 1, 2, 3 in turn, targets at most three times a source."""
@@ -109,7 +126,7 @@ def op7(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-@query("op8_interleaved_shards")
+@query("op8_interleaved_shards", SHARD_SQL)
 def op8(spark, sf_dir):
     """All documents in 24 shards whose row counts differ by one at most."""
     placed = shards.assign(table(spark, sf_dir, "documents"))
