@@ -24,7 +24,7 @@ from vacantia.llm.shared import documents, ready
 NONE = np.iinfo(np.int64).max
 SHIFT = 20
 #: Words a worker remembers between batches; a full memory is emptied, not an error.
-REMEMBER = 400_000
+REMEMBER = 250_000
 
 
 class Merges:

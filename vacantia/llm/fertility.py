@@ -13,7 +13,7 @@ from vacantia.llm import bpe, texts
 from vacantia.llm.shared import ready
 
 SYMBOLS = b"#*$%&|<>"
-REMEMBER = 400_000
+REMEMBER = 250_000
 #: Code point ranges that tell scripts apart.
 SCRIPTS = [("latin", 0, 0x250), ("cyrillic", 0x400, 0x530), ("han", 0x2E80, 0xD7B0)]
 #: Rejection bands per language, and per main script for texts of any other language:
@@ -148,17 +148,18 @@ def measure(docs, bands=None, pieces=None, ranks=None, text_col="text", lang_col
     ready(docs)
     made = [part.split(" ")[0] for part in COLUMNS.split(", ")]
     kept_columns = [c for c in docs.columns if c not in made]
-    source = docs.select(
-        F.col(text_col).cast("string").alias("_text"),
-        (F.col(lang_col) if lang_col in docs.columns else F.lit(None)).cast("string").alias("_lang"),
-        F.struct(*kept_columns).alias("_row"))
+    known = lang_col in kept_columns
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    docs = docs.withColumn(lang_col, F.col(lang_col).cast("string")) if known else docs
+    source = docs.select(F.struct(*kept_columns).alias("_row"))
 
     def run(batches):
         merges = bpe.rank_file(rank_path)
         is_byte = _pieces(piece_path)[1]
         for batch in batches:
-            langs, rows = batch.column(1).to_pylist(), batch.column(2)
-            for row, data, offsets in texts.chunks(batch.column(0)):
+            rows = batch.column(0)
+            langs = rows.field(lang_col).to_pylist() if known else [None] * len(rows)
+            for row, data, offsets in texts.chunks(rows.field(text_col)):
                 words, which, cuts, base, n = _base(data, offsets)
                 found = _measure_words(piece_path, merges, words)
                 in_pieces = [ids for ids, _ in found]

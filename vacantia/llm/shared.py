@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vacantia.session import checkpoint_dir
 
 #: Rows per Arrow batch; texts inside a batch are cut further by ``texts.chunks``.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def ready(df):

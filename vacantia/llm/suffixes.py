@@ -306,16 +306,17 @@ def without_repeats(docs, least=LEAST, text_col="text", length_col="n_chars"):
     ready(docs)
     keyed = _with_keys(docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     found = repeated_ranges(keyed, stored(_packed(keyed)), least)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(text).alias("tk"),
+        F.struct("*").alias("_row"), F.xxhash64(text).alias("tk"),
         F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).alias("tx"))
-    rows = lookup_join(rows, found, ["tk", "tx"]).select("_row", "_text", "ranges")
+    rows = lookup_join(rows, found, ["tk", "tx"]).select("_row", "ranges")
 
     def run(batches):
         for batch in batches:
             kept = [None if t is None else t if not r else _cut(t.encode(), r)[0].decode("utf-8", "ignore")
-                    for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                    for t, r in zip(batch.column(0).field(text_col).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["_row", "_kept"])
 
     row_type = rows.schema["_row"].dataType.simpleString()

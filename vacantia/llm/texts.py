@@ -42,7 +42,7 @@ def powers(n):
     return _powers(max(1 << 20, 1 << int(n).bit_length()))
 
 
-def chunks(column, limit=4 << 20):
+def chunks(column, limit=2 << 20):
     """Yield (first row, byte array, offsets) for runs of rows with about ``limit`` bytes.
 
     Null texts count as empty. A longer text comes alone.
