@@ -448,6 +448,29 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+MIT_HEADER = """# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal"""
+BSD_HEADER = """/* Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met: */"""
+GPL_HEADER = """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version."""
+
+
+def licenses_of(*rows):
+    return [[n[1] for _, block in licenses.blocks(r.encode()) for n in licenses.judge(block)] for r in rows]
+
+
+def test_licenses_over_lines():
+    assert licenses_of(MIT_HEADER, BSD_HEADER, GPL_HEADER) == [["MIT"], ["BSD-3-Clause"], ["GPL-3.0"]]
+    far = "é\n" * 300
+    assert licenses_of(far + GPL_HEADER + "\n" + far, "Permission is\n * hereby granted" + MIT_HEADER[32:]) == [["GPL-3.0"], ["MIT"]]
+    ((place, block),) = licenses.blocks((far + GPL_HEADER).encode())
+    assert place + licenses.judge(block)[0][0] == len((far + "// ").encode())
+
+
 def test_every_query_reads_whole_tables(spark):
     from vacantia.llm import queries
 

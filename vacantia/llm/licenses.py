@@ -1,9 +1,11 @@
 """License scan by conditional compression (operator 3)."""
 
+import bisect
 import functools
 import re
-from difflib import SequenceMatcher
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 
@@ -67,15 +69,21 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. Unauthorized copying is prohibited."],
 }
+#: Words of a cue may stand on two lines, with a comment mark between them.
 CUE = re.compile(
-    rb"licen[sc]e|copyright|spdx|all rights reserved|permission is hereby|public domain|creative commons"
-    rb"|redistribution and use|\bcc[ -]?by\b|\bcc0\b|free software|source code form|\bgpl", re.I)
+    rb"licen[sc]e|copyright|spdx|all\W{1,40}rights\W{1,40}reserved|permission\W{1,40}is\W{1,40}hereby|public\W{1,40}domain"
+    rb"|creative\W{1,40}commons|redistribution\W{1,40}and\W{1,40}use|\bcc(?:\W{1,40})?by\b|\bcc0\b|free\W{1,40}software"
+    rb"|source\W{1,40}code\W{1,40}form|\bgpl", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
-#: Words of a line before and after a cue that belong to its block.
-BEFORE, AFTER = 16, 48
-#: Least share of a wording's words that a block must hold.
+#: Runs of letters and digits, with all bytes of longer characters: line breaks and comment marks are between them.
+RUN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Least share of a wording's words that a notice must hold; at most the rest of it may be added.
 PERCENT = 80
+#: Runs before and after a cue that belong to its block: the longest wording with all that may be added, twice over for hyphens.
+REACH = 2 * max(len(RUN.findall(w.encode())) for ws in TEMPLATES.values() for w in ws) * (200 - PERCENT) // 100
 REMEMBER = 50_000
+#: Longest block whose notices are remembered, in bytes.
+LONGEST = 4_000
 
 
 @functools.cache
@@ -86,72 +94,140 @@ def _coders():
 
 
 def blocks(raw):
-    """Candidate blocks of one text: (place, bytes) of the words around license cues in a line."""
-    out, end = [], -1
-    for cue in CUE.finditer(raw):
-        if cue.start() < end:
-            continue
-        left = raw.rfind(b"\n", 0, cue.start()) + 1
-        right = raw.find(b"\n", cue.end())
-        right = len(raw) if right < 0 else right
-        head = [m.start() for m in re.finditer(rb"\S+", raw[max(left, cue.start() - 400) : cue.start()])][-BEFORE:]
-        tail = [m.end() for m in re.finditer(rb"\S+", raw[cue.end() : min(right, cue.end() + 1200)])][: AFTER + 1]
-        start = max(left, cue.start() - 400) + head[0] if head else cue.start()
-        end = cue.end() + tail[-1] if tail else cue.end()
-        out.append((start, raw[start:end]))
-    return out
+    """Candidate blocks of one text: (place, bytes) of the words around license cues.
+
+    A block holds REACH runs on either side of each of its cues, over any line breaks; cues
+    whose words meet share one block, so no notice is cut at an edge.
+    """
+    cues = [(m.start(), m.end()) for m in CUE.finditer(raw)]
+    if not cues:
+        return []
+    runs = [m.span() for m in RUN.finditer(raw)]
+    starts, ends, out = [r[0] for r in runs], [r[1] for r in runs], []
+    for i, j in cues:
+        first = max(0, bisect.bisect_right(ends, i) - REACH)
+        last = min(len(runs), bisect.bisect_left(starts, j) + REACH) - 1
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(last, out[-1][1])
+        else:
+            out.append([first, last])
+    return [(starts[i], raw[starts[i] : ends[j]]) for i, j in out]
 
 
 def words_of(text):
     return [w.lower() for w in WORD.findall(text)]
 
 
-def differences(block, wording):
-    """Best fit of a wording in a block, word by word: (matched, missing, added words)."""
-    a, b = words_of(wording), words_of(block)
-    found = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
-    if not found:
-        return 0, a, []
-    inside = range(found[0].b, found[-1].b + found[-1].size)
-    met_a = {m.a + d for m in found for d in range(m.size)}
-    met_b = {m.b + d for m in found for d in range(m.size)}
-    return len(met_a), [w for k, w in enumerate(a) if k not in met_a], [b[k] for k in inside if k not in met_b]
+@functools.cache
+def _wordings():
+    """Every wording as word numbers: (license, words, numbers, how often each), and the numbers."""
+    number, out = {}, []
+    for name, wordings in TEMPLATES.items():
+        for wording in wordings:
+            words = words_of(wording)
+            ids = [number.setdefault(w, len(number) + 1) for w in words]
+            out.append((name, words, ids, Counter(ids)))
+    return out, number
+
+
+def _costs(a, b):
+    """Least differences of each beginning of ``a`` ending at each place of ``b``, begun anywhere: one row each."""
+    steps = np.arange(len(b) + 1)
+    rows = [np.zeros(len(b) + 1, np.int64)]
+    for word in a:
+        above = rows[-1]
+        here = above + 1
+        here[1:] = np.where(b == word, np.minimum(here[1:], above[:-1]), here[1:])
+        rows.append(np.minimum.accumulate(here - steps) + steps)
+    return rows
+
+
+def _fit(a, b, rows, end):
+    """The best fit of ``a`` ending before ``end``: pairs of places that match, first to last."""
+    i, j, out = len(a), end, []
+    while i and j:
+        if b[j - 1] == a[i - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i][j] == rows[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def _fits(ids):
+    """All fits of all wordings among word numbers: (differences, -words, start, end, license, missing, added)."""
+    held, out = Counter(ids.tolist()), []
+    for name, words, a, often in _wordings()[0]:
+        total = len(a)
+        if 100 * sum(min(n, held[k]) for k, n in often.items()) < PERCENT * total:
+            continue
+        rows = _costs(a, ids)
+        last = rows[-1]
+        near = (100 * last <= 2 * (100 - PERCENT) * total) & (last <= np.append(last[1:], total)) & (last <= np.append(total, last[:-1]))
+        for end in np.flatnonzero(near).tolist():
+            met = _fit(a, ids, rows, end)
+            if not met or 100 * len(met) < PERCENT * total:
+                continue
+            start, stop = met[0][1], met[-1][1] + 1
+            in_a, in_b = {i for i, _ in met}, {j for _, j in met}
+            added = [j for j in range(start, stop) if j not in in_b]
+            if 100 * len(added) <= (100 - PERCENT) * total:
+                missing = [w for k, w in enumerate(words) if k not in in_a]
+                out.append((len(missing) + len(added), -total, start, stop, name, missing, added))
+    return out
 
 
 def judge(block):
-    """License of a block: (name, reduction, missing, added, rank of reduction), or None.
+    """All notices of a block, by place: (place, name, reduction, missing, added, rank of reduction).
 
-    Every template compresses the block as a raw dictionary. Templates are ranked by how much
-    smaller the block gets than without one; the wordings are then compared word by word,
-    best reduction first, and the fewest differences win, ties by rank.
+    Every wording is fitted word by word at every place. The fit with the fewest differences
+    is taken, the longest wording first, its words are marked, and what is left is judged again until
+    no wording fits. Every template compresses the bytes of a notice as a raw dictionary;
+    templates are ranked by how much smaller that gets than without one, and the rank
+    decides between fits that are otherwise even.
     """
-    plain, coders = _coders()
-    size = len(plain.compress(block))
-    gain = {name: (size - len(coder.compress(block))) / size for name, coder in coders.items()}
-    best = None
     text = block.decode("utf-8", "replace")
-    for rank, name in enumerate(sorted(gain, key=lambda n: (-gain[n], n))):
-        if gain[name] <= 0:
-            break
-        for wording in TEMPLATES[name]:
-            matched, missing, added = differences(text, wording)
-            total = len(words_of(wording))
-            if 100 * matched >= PERCENT * total and 100 * len(added) <= (100 - PERCENT) * total:
-                key = (len(missing) + len(added), -total, rank)
-                if best is None or key < best[0]:
-                    best = key, (name, gain[name], missing, added, rank)
-    return best and best[1]
+    spans = [m.span() for m in WORD.finditer(text)]
+    number = _wordings()[1]
+    words = [text[i:j].lower() for i, j in spans]
+    ids = np.array([number.get(w, 0) for w in words], np.int64)
+    out = []
+    while fits := sorted(_fits(ids), key=lambda f: f[:4]):
+        ranks, free = {}, ids >= 0
+
+        def rank(fit):
+            part = text[spans[fit[2]][0] : spans[fit[3] - 1][1]].encode()
+            if part not in ranks:
+                plain, coders = _coders()
+                size = len(plain.compress(part))
+                gain = {name: (size - len(coder.compress(part))) / size for name, coder in coders.items()}
+                ranks[part] = gain, sorted(gain, key=lambda n: (-gain[n], n))
+            gain, order = ranks[part]
+            return gain[fit[4]], order.index(fit[4])
+
+        for fit in sorted(fits, key=lambda f: (*f[:2], rank(f)[1], *f[2:4])):
+            start, stop = fit[2:4]
+            if free[start:stop].all():
+                free[start:stop] = False
+                gain, place = rank(fit)
+                at = len(text[: spans[start][0]].encode())
+                out.append((at, fit[4], gain, fit[5], [words[j] for j in fit[6]], place))
+        ids = np.where(free, ids, -1)
+    return sorted(out, key=lambda n: n[0])
 
 
 def scan(docs, id_col="doc_id", text_col="text"):
-    """License notices in whole texts, one row per confirmed block.
+    """License notices in whole texts, one row per confirmed wording.
 
-    Returns doc_id, place (byte of the text where the block starts), license, reduction
+    Returns doc_id, place (byte of the text where the notice starts), license, reduction
     (share of the compressed size that the license's template saves), gain_rank, n_missing
     and n_added words, exact (no differences), differences (text, -missing and +added).
 
-    Candidate blocks are the words of a line around any license cue, anywhere in the text.
-    Texts without cues, null and empty ones give no rows; repeated rows and blocks give
+    Candidate blocks are the words around any license cue, anywhere in the text, over line
+    breaks and comment marks; every wording that a block holds counts, but no word twice.
+    Texts without cues, null and empty ones give no rows; repeated rows and notices give
     repeated rows; a null id stays null; extra columns are ignored. Narrow: no shuffle;
     equal blocks are judged once per worker.
     """
@@ -167,14 +243,16 @@ def scan(docs, id_col="doc_id", text_col="text"):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 for place, block in blocks(text or b""):
-                    if block not in seen:
-                        if len(seen) > REMEMBER:
-                            seen.clear()
-                        seen[block] = judge(block)
-                    if seen[block]:
-                        name, gain, missing, added, rank = seen[block]
+                    notices = seen.get(block)
+                    if notices is None:
+                        notices = judge(block)
+                        if len(block) <= LONGEST:
+                            if len(seen) > REMEMBER:
+                                seen.clear()
+                            seen[block] = notices
+                    for at, name, gain, missing, added, rank in notices:
                         text_of = " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
-                        rows.append((doc_id, place, name, gain, rank, len(missing), len(added), not missing and not added, text_of))
+                        rows.append((doc_id, place + at, name, gain, rank, len(missing), len(added), not missing and not added, text_of))
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
