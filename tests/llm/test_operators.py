@@ -471,6 +471,16 @@ def test_licenses_over_lines():
     assert place + licenses.judge(block)[0][0] == len((far + "// ").encode())
 
 
+def test_every_license_of_a_block():
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    grant = " ".join(MIT_HEADER.replace("#", "").split())
+    late = "Copyright " + "someone and others " * 13 + grant
+    assert licenses_of(two, "Copyright 2020 X. All rights reserved. " + BSD_HEADER, late) == [
+        ["MIT", "Apache-2.0"], ["proprietary", "BSD-3-Clause"], ["MIT"]]
+    assert licenses_of(" and ".join([two, grant] * 3)) == [["MIT", "Apache-2.0", "MIT"] * 3]
+    assert licenses_of("word " * 500 + "license " * 500 + two + " license" * 500) == [["MIT", "Apache-2.0"]]
+
+
 def test_every_query_reads_whole_tables(spark):
     from vacantia.llm import queries
 
