@@ -430,6 +430,18 @@ def test_passages(docs, none, spark):
     assert passages.shared_passages(none).count() == 0
 
 
+def test_passages_of_documents_between_the_ends(spark):
+    """Each pair is compared on its own: the ends of a seed's group hold less than a passage."""
+    rnd = random.Random(12)
+    fresh = lambda n: [f"x{rnd.random()}" for _ in range(n)]
+    shared = fresh(55)
+    for turn in range(3):
+        rows = [(k, " ".join(fresh(70) + (shared[:45] if k in (turn, turn + 3) else shared) + fresh(70))) for k in range(6)]
+        got = {(r["doc_id"], r["source_id"]) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        whole = {k for k in range(6) if k not in (turn, turn + 3)}
+        assert {k for pair in got for k in pair} == whole
+
+
 def test_licenses(spark, docs, none):
     rows = [
         (1, "Some text.\nLicensed under the Apache License, Version 2.0.\nmore"),
