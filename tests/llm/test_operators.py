@@ -135,6 +135,15 @@ def test_minhash_finds_every_link(docs, none, size):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for (i, _, _, k), _ in want.items() if k})
 
 
+def test_one_document_stays_of_groups_without_ids(spark):
+    rnd = random.Random(21)
+    texts_ = [prose(rnd, 100) for _ in range(3)]
+    near = lambda t: t + " more"
+    rows = [(None, texts_[0]), (None, near(texts_[0])), (7, texts_[1]), (7, near(texts_[1])), (None, texts_[2]), (9, near(texts_[2])), (None, ""), (None, "")]
+    kept = [(r["doc_id"], r["text"]) for r in minhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert Counter(i for i, _ in kept) == {None: 2, 7: 1, 9: 1} and (None, "") in kept
+
+
 def test_left_over_pairs_of_a_bucket(spark):
     """The head of a bucket is like neither of two members that are like each other."""
     rnd = random.Random(8)

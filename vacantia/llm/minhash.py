@@ -292,19 +292,23 @@ def near_duplicates(docs, shingle=5, percent=80, bands=BANDS, rows=ROWS, id_col=
     owners = filled.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
     rooted = lookup_join(owners, roots.withColumnRenamed("node", "set_key"), "set_key").withColumn("root", F.coalesce("root", "set_key"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = lookup_join(rooted.select("set_key", "root"), smallest, "root").select("set_key", "component_id")
+    component = lookup_join(rooted.select("set_key", "root"), smallest, "root").select("set_key", "root", "component_id")
     out = lookup_join(made.select("doc_id", "text_key", "set_key", "n_shingles"), component, "set_key")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", "kept", *["text_key"] * with_key)
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *["text_key", "root"] * with_key)
 
 
 def deduplicate(docs, id_col="doc_id", text_col="text", **options):
-    """The rows of one document of each group, all columns kept: the smallest id's.
+    """The rows of one document of each group, all columns kept: the smallest id's, null last, then the smallest text key's.
 
-    Rows equal in id and text are one document and give one row.
+    Rows equal in id and text are one document and give one row. Texts without words are in
+    no group and stay.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, with_key=True, **options).filter("kept")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, with_key=True, **options)
+    first = found.filter("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
+    kept = first.select("first.doc_id", "first.text_key").union(found.filter("root is null").select("doc_id", "text_key"))
     kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_text"))
     rows = docs.withColumns({
         "_id": F.coalesce(F.col(id_col).cast("bigint").cast("string"), F.lit("")), "_text": text_key(F.col(text_col).cast("string"))})
