@@ -144,6 +144,18 @@ def test_one_document_stays_of_groups_without_ids(spark):
     assert Counter(i for i, _ in kept) == {None: 2, 7: 1, 9: 1} and (None, "") in kept
 
 
+@pytest.mark.parametrize("percent", [10, 50, 70, 80, 95, 100])
+def test_bands_and_sketch_fit_the_threshold(percent):
+    bands, rows = minhash.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
+    assert percent != 80 or (bands, rows) == (minhash.BANDS, minhash.ROWS)
+    # sketches of pairs at the threshold: of 2,000, all but a few in a million agree enough
+    drawn = np.random.default_rng(percent).binomial(minhash.SKETCH, percent / 100, 2000) / minhash.SKETCH
+    assert (drawn >= minhash.sketch_least(percent)).all()
+    with pytest.raises(ValueError):
+        minhash.banding(0)
+
+
 def test_left_over_pairs_of_a_bucket(spark):
     """The head of a bucket is like neither of two members that are like each other."""
     rnd = random.Random(8)

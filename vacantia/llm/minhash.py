@@ -1,5 +1,7 @@
 """Near-duplicate documents by circulant MinHash (operator 6)."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -19,9 +21,27 @@ BANDS, ROWS = 32, 5
 STARS = 2
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
-#: Coordinates of the sketch that tells which open pairs are worth an exact check, and the
-#: share of them that has to agree: four and a half standard deviations under 0.8.
-SKETCH, SKETCH_LEAST = 320, 0.7
+#: Chance with which a pair at the threshold may miss all bands.
+MISS = 4e-6
+#: Coordinates of the sketch that tells which open pairs are worth an exact check.
+SKETCH = 320
+
+
+def banding(percent, bands=BANDS, rows=ROWS):
+    """Bands and coordinates per band for a threshold: as many coordinates as MISS allows, then more bands."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent has to be from 1 to 100, not {percent}")
+    while rows > 1 and (1 - (percent / 100) ** rows) ** bands > MISS:
+        rows -= 1
+    while (1 - (percent / 100) ** rows) ** bands > MISS:
+        bands += 1
+    return bands, rows
+
+
+def sketch_least(percent):
+    """Share of the sketch that has to agree: four and a half standard deviations under the threshold."""
+    p = percent / 100
+    return p - 4.5 * math.sqrt(p * (1 - p) / SKETCH)
 
 
 def shingles(data, offsets, size):
@@ -184,6 +204,8 @@ def _left_over(buckets, roots, packed, shingle, percent):
         "n_shingles", "bands", "packed")
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "x")
 
+    least = sketch_least(percent)
+
     def compare(members):
         band, alike, n = members[0][0], members[0][1] == members[0][2], len(members)
         x, root = [m[4] for m in members], np.unique([m[5] for m in members], return_inverse=True)[1]
@@ -205,7 +227,7 @@ def _left_over(buckets, roots, packed, shingle, percent):
             if not alike:
                 ok &= block[k + 1 :] != block[k]
             at = np.flatnonzero(ok) + k + 1
-            at = at[(signed[at] == signed[k]).mean(1) >= SKETCH_LEAST]
+            at = at[(signed[at] == signed[k]).mean(1) >= least]
             if not len(at):
                 continue
             shared = bands[at] == bands[k]
@@ -236,13 +258,13 @@ def _pairs(found):
         [pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["u", "v"])
 
 
-def near_duplicates(docs, shingle=5, percent=80, bands=BANDS, rows=ROWS, id_col="doc_id", text_col="text", with_key=False):
+def near_duplicates(docs, shingle=5, percent=80, bands=None, rows=None, id_col="doc_id", text_col="text", with_key=False):
     """Components of documents whose word-shingle sets have a Jaccard similarity of percent / 100.
 
     Returns one row per document: doc_id, n_shingles, component_id (smallest doc_id reachable
     by links, itself included), kept (doc_id = component_id).
 
-    1. Every text gets a circulant MinHash signature, cut into bands. Equal sets are one node.
+    1. Every text gets a circulant MinHash signature, cut into bands that fit percent (``banding``). Equal sets are one node.
     2. Documents that share a band value share a bucket. Each is compared with the member
        that shares the most buckets; those that are not in its component then are compared
        with one of them in the same way. Every comparison is exact, on the full sets.
@@ -255,6 +277,8 @@ def near_duplicates(docs, shingle=5, percent=80, bands=BANDS, rows=ROWS, id_col=
     equal ids are kept alike; an empty table gives no rows; extra columns are ignored.
     """
     ready(docs)
+    fitting = banding(percent)
+    bands, rows = bands or fitting[0], rows or fitting[1]
     # computed once: the mapper runs over whole texts
     made = stored(sketches(documents(docs, id_col, text_col), shingle, bands, rows))
     filled = made.filter("n_shingles > 0")
