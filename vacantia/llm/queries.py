@@ -6,6 +6,7 @@ from vacantia.llm import (
     bpe,
     epsilon_join,
     fertility,
+    hard_negatives,
     licenses,
     minhash,
     mixing,
@@ -13,6 +14,8 @@ from vacantia.llm import (
     shards,
     suffixes,
     token_counts,
+    vector_codes,
+    word_bpe,
 )
 
 QUERIES = {}
@@ -88,6 +91,66 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (place - (s
 """
 
 
+#: Usable vectors as whole numbers; ``{label}`` is the label's expression.
+WHOLE_SQL = """
+v AS (
+  SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+NEGATIVES_SQL = f"""
+WITH {WHOLE_SQL.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")},
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+    list_sum(list_transform(range(1, len(a.c) + 1), lambda i: a.c[i] * r.c[i]))::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0 AND a.label IS NOT NULL AND r.label IS NOT NULL
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def _round_sql(n):
+    """One round of assigning (``a{n}``) and averaging: books ``b{n}`` become ``b{n + 1}``."""
+    return f"""
+a{n} AS (
+  SELECT x.vec_id, x.part, x.piece, min((list_sum(list_transform(range(1, len(piece) + 1),
+    lambda i: (piece[i] - entry[i]) * (piece[i] - entry[i])))::BIGINT * 64 + code)) AS best
+  FROM x JOIN b{n} b ON x.part = b.part GROUP BY x.vec_id, x.part, x.piece
+), m{n} AS (
+  SELECT part, best % 64 AS code, place, sum(piece[place])::BIGINT AS total, count(*) AS n
+  FROM a{n}, (SELECT unnest(range(1, (SELECT width + 1 FROM w))) AS place) GROUP BY ALL
+), b{n + 1} AS (
+  SELECT b.part, b.code, coalesce(any_value(l.moved), any_value(b.entry)) AS entry FROM b{n} b LEFT JOIN (
+    SELECT part, code, list((total - ((total % n) + n) % n) // n ORDER BY place) AS moved FROM m{n} GROUP BY part, code
+  ) l ON b.part = l.part AND b.code = l.code GROUP BY b.part, b.code
+)"""
+
+
+CODES_SQL = f"""
+WITH {WHOLE_SQL.format(label="label")},
+w AS (SELECT max(len(c)) // 16 AS width FROM v),
+x AS (SELECT vec_id, label, part, c[part * width + 1 : part * width + width] AS piece FROM v, w, (SELECT unnest(range(16)) AS part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS code FROM v QUALIFY code < 64),
+b0 AS (SELECT part, code, piece AS entry FROM x JOIN f USING (vec_id)),
+{_round_sql(0)}, {_round_sql(1)}, {_round_sql(2).split(", m2 AS")[0]},
+h AS (SELECT sha256(string_agg(number, ',' ORDER BY part, code)) AS codebooks_sha256
+  FROM (SELECT part, code, array_to_string(entry, ',') AS number FROM b2)),
+r AS (
+  SELECT vec_id, string_agg(lower(lpad(printf('%x', best % 64), 2, '0')), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error
+  FROM a2 GROUP BY vec_id
+)
+SELECT r.vec_id, r.code, r.error, (sum(r.error) OVER (PARTITION BY v.label))::BIGINT AS label_error, codebooks_sha256
+FROM r JOIN v USING (vec_id), h
+"""
+
+
 @query("op1_pareto_mix", MIX_SQL)
 def op1(spark, sf_dir):
     """All documents mixed to weights 1, 2, 3 in turn, targets at most three times a source."""
@@ -149,6 +212,25 @@ def op10(spark, sf_dir):
     return measured.select("doc_id", *BASE, "chars_per_piece", "chars_per_token", "fallback_share", "entropy", "band")
 
 
+@query("op11_residue_negatives", NEGATIVES_SQL)
+def op11(spark, sf_dir):
+    """Hard negatives of all anchors against all vectors; every seventh label is off by one."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
+
+
+@query("op12_word_bpe")
+def op12(spark, sf_dir):
+    """All documents by the vocabulary of words with ends, encoded and decoded."""
+    return word_bpe.encode(table(spark, sf_dir, "documents"))
+
+
+@query("op13_orchard_codes", CODES_SQL)
+def op13(spark, sf_dir):
+    """Codes of all vectors: 16 parts, 64 entries each, two rounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over all documents."""
