@@ -1,11 +1,13 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import merge, seen
 from vacantia.plans import jobs as whole_jobs
 from vacantia.schemas import PAGE_SNAPSHOT, STATE_SEEN
-from vacantia.streaming import cycles, tables
+from vacantia.streaming import cycles, keyed, tables
 
 
 def land(df, folder, pieces):
@@ -70,3 +72,81 @@ def test_status_stream_keeps_toggles_across_batches(spark, tmp_path):
     cycles.status_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), toggle=True).awaitTermination()
     got = tables.read_latest(spark, str(tmp_path / "out"), cycles.STATUS).collect()
     assert sorted((r.key, r.status) for r in got) == [("a", "saved"), ("c", "applied")]
+
+
+DAY0 = dt.date(2026, 1, 1)
+
+
+def sightings(spark, rows):
+    return spark.createDataFrame([(j, DAY0 + dt.timedelta(d)) for j, d in rows], "job_id string, day date")
+
+
+def seen_rows(df):
+    return sorted((r["job_id"], (r["first_seen"] - DAY0).days, (r["last_seen"] - DAY0).days) for r in df.collect())
+
+
+def keyed_run(spark, folder, pieces, df, log="log", checkpoint="cp", **kwargs):
+    land(df, str(folder / "in"), pieces)
+    stream = cycles.files(spark, str(folder / "in"), df.schema)
+    query = keyed.keyed_seen_stream(stream, str(folder / log), str(folder / checkpoint), **kwargs)
+    query.awaitTermination()
+    return query
+
+
+def test_keyed_seen_state_equals_the_rewritten_one(spark, tmp_path):
+    rnd = random.Random(8)
+    days = [2, 5, 40, 41, 75, 76, 140]
+    rows = [(f"j{rnd.randrange(25)}", d) for d in days for _ in range(12)]
+    df = sightings(spark, [*rows, *rows[:5]])
+    pieces = [f"day = DATE'2026-01-01' + {d}" for d in days]
+    keyed_run(spark, tmp_path, pieces, df)
+    cycles.seen_stream(
+        cycles.files(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "state"), str(tmp_path / "cp2")).awaitTermination()
+    want = seen_rows(tables.read_latest(spark, str(tmp_path / "state"), STATE_SEEN))
+    assert seen_rows(keyed.read_state(spark, str(tmp_path / "cp"), "seen")) == want
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert seen_rows(keyed.last_changes(log)) == want
+    born, gone = log.filter("change = 'new'").count(), log.filter("change = 'gone'").count()
+    assert gone > 0 and born - gone == len(want)
+
+
+def test_a_keyed_run_writes_its_own_keys_only(spark, tmp_path):
+    df = sightings(spark, [*[(f"j{k}", 1) for k in range(500)], ("j1", 2), ("x", 2), (None, 2), ("y", 3)])
+    query = keyed_run(spark, tmp_path, ["day = DATE'2026-01-02'"], df)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] >= 500
+    query = keyed_run(spark, tmp_path, ["day = DATE'2026-01-03'"], df)  # the same checkpoint goes on
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < sum(written) < 20
+    assert spark.read.parquet(str(tmp_path / "log")).filter("last_seen = DATE'2026-01-03'").count() == 2
+    state = seen_rows(keyed.read_state(spark, str(tmp_path / "cp"), "seen"))
+    assert len(state) == 501 and ("j1", 1, 2) in state and ("x", 2, 2) in state
+
+
+def test_keyed_state_after_a_lost_checkpoint(spark, tmp_path):
+    rows = [("a", 1), ("b", 1), ("a", 20), ("c", 20), ("b", 45), ("a", 46)]
+    df = sightings(spark, rows)
+    keyed_run(spark, tmp_path, [f"day = DATE'2026-01-01' + {d}" for d in (1, 20)], df)
+    with pytest.raises(ValueError, match="another checkpoint"):
+        keyed_run(spark, tmp_path, [], df, checkpoint="lost")
+    saved = keyed.last_changes(spark.read.parquet(str(tmp_path / "log")))
+    (tmp_path / "next").mkdir()
+    keyed_run(spark, tmp_path / "next", [f"day = DATE'2026-01-01' + {d}" for d in (45, 46)], df, initial=saved)
+    got = seen_rows(keyed.read_state(spark, str(tmp_path / "next/cp"), "seen"))
+    # as without the loss: no run came between the 30th day of b and its next sighting
+    assert got == [("a", 1, 46), ("b", 1, 45), ("c", 20, 20)]
+
+
+def test_keyed_status_equals_the_rewritten_one(spark, tmp_path):
+    rnd = random.Random(3)
+    events = [(f"k{rnd.randrange(6)}", rnd.choice(["saved", "applied", "ignored", None]), n) for n in range(90)]
+    df = spark.createDataFrame([*events, (None, "saved", 1)], "key string, status string, event_id bigint").withColumn(
+        "ts", F.timestamp_seconds(F.floor(F.col("event_id") / 2)))
+    land(df, str(tmp_path / "in"), ["event_id < 30", "event_id >= 30 AND event_id < 33", "event_id >= 33"])
+    for toggle in (False, True):
+        stream = cycles.files(spark, str(tmp_path / "in"), df.schema)
+        keyed.keyed_status_stream(stream, str(tmp_path / f"log{toggle}"), str(tmp_path / f"cp{toggle}"), toggle).awaitTermination()
+        got = {r["key"]: r["status"] for r in keyed.read_state(spark, str(tmp_path / f"cp{toggle}"), "status").collect()}
+        want = {}
+        for key, status, _ in events:
+            want[key] = None if toggle and want.get(key) == status else status
+        assert got == {k: s for k, s in want.items() if s is not None}

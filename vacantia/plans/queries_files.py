@@ -14,11 +14,11 @@ from vacantia.plans.queries_postings import AS_OF, FETCHES, MERGED, fetches, mer
 from vacantia.plans.queries_runs import DAY, STATE, run_inputs
 from vacantia.plans.queries_sources import _ICIMS_TITLE, _PAGES
 from vacantia.plans.queries_views import ST
-from vacantia.plans.registry import query
+from vacantia.plans.registry import ORACLES, query
 from vacantia.session import checkpoint_dir
 from vacantia.sinks import files as sinks
 from vacantia.sources import files as sources
-from vacantia.streaming import cycles, tables
+from vacantia.streaming import cycles, keyed, tables
 
 KEYS, P, SLIM = sql.KEYS, sql.P, sql.SLIM
 ORD = sample.ORDER
@@ -283,6 +283,36 @@ def t02_empty(spark, sf):
     return tables.read_latest(spark, state, "job_id string, first_seen date, last_seen date")
 
 
+def runs(spark, sf):
+    """Sightings as weekly runs, each row with the day of its run."""
+    rows = sample.sightings(spark, sf).withColumn("week", F.floor((F.dayofmonth("day") - 1) / 7).cast("int"))
+    days = rows.groupBy("week").agg(F.max("day").alias("day"))
+    return rows.drop("day").join(F.broadcast(days.filter("week < 5")), "week")
+
+
+@query("t02_keyed_stream", _state_chain(5, 8))
+def t02_keyed(spark, sf):
+    """The weekly runs through keyed state with timers, read from the state itself."""
+    rows = runs(spark, sf)
+    landing, checkpoint = folder(spark, "sightings"), folder(spark, "progress")
+    per_batch = land([rows.filter(c("week") == w) for w in range(5)], landing)
+    keyed.keyed_seen_stream(cycles.files(spark, landing, rows.schema, per_batch), folder(spark, "seen"), checkpoint, days=8).awaitTermination()
+    return keyed.read_state(spark, checkpoint, "seen")
+
+
+@query("t02_seen_changes", _state_chain(5, 8).rsplit(" SELECT", 1)[0] + ", ".join(["", *[f"""
+    d{i} AS (SELECT job_id, {i} AS run, CASE WHEN o.job_id IS NULL THEN 'new' ELSE 'seen' END AS change FROM (SELECT DISTINCT job_id FROM sg WHERE week = {i}) n LEFT JOIN s{i} o USING (job_id)
+        UNION ALL SELECT job_id, {i}, 'gone' FROM s{i} WHERE job_id NOT IN (SELECT job_id FROM s{i + 1}))""" for i in range(5)]])
+    + " SELECT change, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(5)) + ") GROUP BY change")
+def t02_changes(spark, sf):
+    """New, seen again and gone over all weekly runs, from the log of changes."""
+    rows = runs(spark, sf)
+    landing, log = folder(spark, "sightings"), folder(spark, "seen")
+    per_batch = land([rows.filter(c("week") == w) for w in range(5)], landing)
+    keyed.keyed_seen_stream(cycles.files(spark, landing, rows.schema, per_batch), log, folder(spark, "progress"), days=8).awaitTermination()
+    return spark.read.parquet(log).groupBy("change").agg(F.count("*").alias("n"))
+
+
 @query("t04_merge_stream", P + f""", u AS (SELECT *, {sql.posting_key()} AS k, CAST(floor(l_linenumber / 3) AS INT) AS batch FROM p),
     r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY batch DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM u WHERE k IS NOT NULL)
     SELECT {KEYS}, k FROM r WHERE rn = 1 AND (batch = 2 OR {sql.fresh('scraped_at')})""")
@@ -323,3 +353,14 @@ def t08(spark, sf):
     per_batch = land([rows.filter(f"floor((dayofmonth(ts) - 1) / 10) = {b}") for b in range(3)], landing)
     cycles.status_stream(cycles.files(spark, landing, rows.schema, per_batch), state, folder(spark, "progress"), toggle=True).awaitTermination()
     return tables.read_latest(spark, state, cycles.STATUS).select("key", "status")
+
+
+@query("t08_keyed_status", ORACLES["t08_status_stream"])
+def t08_keyed(spark, sf):
+    """Toggled statuses through keyed state."""
+    rows = sample.status_events(spark, sf)
+    landing, checkpoint = folder(spark, "status"), folder(spark, "progress")
+    per_batch = land([rows.filter(f"floor((dayofmonth(ts) - 1) / 10) = {b}") for b in range(3)], landing)
+    keyed.keyed_status_stream(
+        cycles.files(spark, landing, rows.schema, per_batch), folder(spark, "current"), checkpoint, toggle=True).awaitTermination()
+    return keyed.read_state(spark, checkpoint, "status").select("key", "status")
