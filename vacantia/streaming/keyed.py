@@ -114,30 +114,30 @@ class StatusProcessor(StatefulProcessor):
         self.toggle = toggle
 
     def init(self, handle):
-        self.status = handle.getValueState("status", "status string, ts timestamp, event_id bigint")
+        self.status = handle.getValueState("status", "status string, micros bigint, event_id bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        events = [(row["ts"], row["event_id"], row["status"]) for row in rows]
+        events = [(row["micros"], row["event_id"], row["status"]) for row in rows]
         if self.status.exists():
-            status, ts, number = self.status.get()
-            events.append((ts, number, status))
-        now = None
+            status, micros, number = self.status.get()
+            events.append((micros, number, status))
         # an unreadable stamp comes first, as in an ascending sort
-        events.sort(key=lambda e: (e[0] is not None, e[0] or dt.datetime.min, e[1] is not None, e[1] or 0))
+        events.sort(key=lambda e: [(x is not None, x or 0) for x in e[:2]])
+        now = None
         for event in events:
             now = None if self.toggle and now is not None and now == event[2] else event[2]
-        ts, number, _ = events[-1]
+        micros, number, _ = events[-1]
         if now is None:
             self.status.clear()
         else:
-            self.status.update((now, ts, number))
-        yield Row(key=key[0], status=now, ts=ts, event_id=number)
+            self.status.update((now, micros, number))
+        yield Row(key=key[0], status=now, micros=micros, event_id=number)
 
     def close(self):
         pass
 
 
-STATUS_CHANGE = "key string, status string, ts timestamp, event_id bigint"
+STATUS_CHANGE = "key string, status string, micros bigint, event_id bigint"
 
 
 def keyed_status_stream(events, log, checkpoint, toggle=False):
@@ -145,9 +145,13 @@ def keyed_status_stream(events, log, checkpoint, toggle=False):
 
     A null status deletes. Rows without a key count nowhere.
     """
-    changes = events.filter("key IS NOT NULL").select("key", "status", "ts", "event_id").groupBy("key").transformWithState(
-        StatusProcessor(toggle), STATUS_CHANGE, "Append", "None")
-    return _logged(changes, log, checkpoint)
+    stamped = events.filter("key IS NOT NULL").select("key", "status", F.unix_micros("ts").alias("micros"), "event_id")
+    changes = stamped.groupBy("key").transformWithState(StatusProcessor(toggle), STATUS_CHANGE, "Append", "None")
+    return _logged(_with_ts(changes), log, checkpoint)
+
+
+def _with_ts(rows):
+    return rows.select(*[F.timestamp_micros("micros").alias("ts") if n == "micros" else n for n in rows.columns])
 
 
 def _has_files(spark, path):
@@ -173,7 +177,7 @@ def _logged(changes, log, checkpoint):
 def read_state(spark, checkpoint, name):
     """Keyed state of a stopped stream: its key and value columns. ``name`` is ``seen`` or ``status``."""
     rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-    return rows.select("key.*", "value.*")
+    return _with_ts(rows.select("key.*", "value.*"))
 
 
 def last_changes(log):
