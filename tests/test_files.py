@@ -1,9 +1,12 @@
 import gzip
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from vacantia.sinks import files as sinks
+from vacantia.sources import chunk_set
 from vacantia.sources import files as sources
 from vacantia.sources import watch_list
 
@@ -20,15 +23,77 @@ def test_chunks_round_trip(spark, tmp_path):
     df = spark.createDataFrame(data, SLIM)
     folder = str(tmp_path / "chunks")
     manifest = sinks.write_chunks(df, folder, "2026-06-14T00:00:00Z", rows=20).first()
-    assert (len(manifest.chunks), manifest.totalJobs) == (5, 95)
+    assert (manifest.chunks, manifest.totalJobs) == (5, 95)
     back = sources.read_chunks(spark, folder)
     assert sorted(tuple(r) for r in back.select(df.columns).collect()) == sorted(tuple(r) for r in df.collect())
     check = sources.manifest_check(sources.read_manifest(spark, folder), back).first()
     assert (check.announced, check.found) == (95, 95)
-    # every chunk is one JSON array in canonical order
-    (part,) = (tmp_path / "chunks" / "name=jobs_chunk_0.json.gz").glob("part-*.gz")
-    companies = [row["company"].lower() for row in json.loads(gzip.open(part, "rt").read())]
-    assert len(companies) == 20 and companies == sorted(companies)
+    # every chunk is one JSON array in canonical order, named by a row of a list
+    names = {r["name"]: r["path"] for r in sources.read_chunk_names(spark, folder).collect()}
+    assert sorted(names) == [f"jobs_chunk_{k}.json.gz" for k in range(5)]
+    for k in range(5):
+        companies = [row["company"].lower() for row in json.loads(gzip.open(tmp_path / "chunks" / names[f"jobs_chunk_{k}.json.gz"], "rt").read())]
+        assert len(companies) == (20 if k < 4 else 15) and companies == sorted(companies)
+
+
+def published(spark, folder):
+    return sorted(r["title"] for r in sources.read_chunks(spark, folder).collect())
+
+
+def some_jobs(spark, titles, bad=()):
+    df = spark.createDataFrame([(t, f"C{k}", "u", k) for k, t in enumerate(titles)], "title string, company string, url string, k int")
+    if bad:
+        df = df.withColumn("title", F.when(F.col("k").isin(*bad), F.raise_error(F.lit("lost"))).otherwise(F.col("title")))
+    return df
+
+
+def test_a_chunk_set_is_published_whole(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    first = [f"a{k}" for k in range(50)]
+    sinks.write_chunks(some_jobs(spark, first), folder, "1", rows=7)
+    assert published(spark, folder) == sorted(first)
+    # what no list names is never opened: strays, half-written files, files of a lost attempt
+    (current,) = (tmp_path / "set").glob("set-*")
+    attempt = next(p for p in current.iterdir() if p.is_dir())
+    for path in (tmp_path / "set" / "jobs_chunk_0.json.gz", attempt / "jobs_chunk_99.json.gz", current / "jobs_chunk_1.json.gz"):
+        path.write_bytes(b"\x1f\x8b half")
+    assert published(spark, folder) == sorted(first)
+    # a write that fails half-way leaves the set in force, and nothing of its own
+    lines = spark.createDataFrame([(k // 3, k, "{}") for k in range(30)], "chunk bigint, row_number bigint, line string").withColumn(
+        "line", F.when(F.col("row_number") == 20, F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        lines.repartition(4, "chunk").sortWithinPartitions("chunk").select("chunk", "line").write.format(
+            chunk_set.FORMAT).mode("overwrite").save(folder)
+    assert published(spark, folder) == sorted(first) and len(list((tmp_path / "set").glob("set-*"))) == 1
+    # the next set takes over; readers that planned on the one before still find it, older ones go
+    for stamp in ("2", "3"):
+        sinks.write_chunks(some_jobs(spark, [stamp]), folder, stamp)
+        assert published(spark, folder) == [stamp]
+    assert not current.exists() and len(list((tmp_path / "set").glob("set-*"))) == 2
+    sinks.write_chunks(some_jobs(spark, []), folder, "4")
+    assert published(spark, folder) == [] and sources.read_manifest(spark, folder).first().totalJobs == 0
+
+
+def test_chunks_are_planned_one_by_one(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    sinks.write_chunks(some_jobs(spark, [f"a{k}" for k in range(40)]), folder, "1", rows=5)
+    rows = sources.read_chunks(spark, folder)
+    assert rows.rdd.getNumPartitions() == 8
+    with pytest.raises(Exception, match="as a whole"):
+        spark.createDataFrame([(0, "{}")], "chunk bigint, line string").write.format(chunk_set.FORMAT).mode("append").save(folder)
+    unsorted = spark.createDataFrame([(0, "{}"), (1, "{}"), (0, "{}")], "chunk bigint, line string").coalesce(1)
+    with pytest.raises(Exception, match="twice"):
+        unsorted.write.format(chunk_set.FORMAT).mode("overwrite").save(folder)
+    assert rows.count() == 40
+
+
+def test_scratch_tables_of_chunks_go(spark, tmp_path):
+    from vacantia.session import checkpoint_dir
+
+    where = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(where)) if os.path.isdir(where) else set()
+    sinks.write_chunks(some_jobs(spark, ["a", "b"]), str(tmp_path / "set"), "1")
+    assert set(os.listdir(where)) <= before
 
 
 def test_chunks_named_but_absent_are_skipped(spark, tmp_path):

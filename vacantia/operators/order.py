@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
-from vacantia.session import checkpoint_dir
+from vacantia.session import scratch_path
 
 
 def canonical_order():
@@ -20,19 +20,22 @@ def jobs_db_order():
     return [F.col("first_seen").desc_nulls_last(), F.lower("company").desc(), F.col("job_id").asc()]
 
 
-def with_row_numbers(df, order):
+def with_row_numbers(df, order, folder=None):
     """Add ``row_number`` (from 0) in the given order without a single-task window.
 
-    The table is range-partitioned and sorted once and written to the checkpoint folder;
-    row counts per partition then turn positions within partitions into global ones.
+    The table is range-partitioned and sorted once and written to ``folder`` (by default a new one
+    among the intermediate tables), which the caller may drop once the result is used; row
+    counts per partition then turn positions within partitions into global ones.
     """
-    checkpoint_dir(df.sparkSession)
+    folder = folder or scratch_path(df.sparkSession, "numbered")
     placed = (
         df.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
         .withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_id").checkpoint()
+        .drop("_id")
     )
+    placed.write.parquet(folder)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(folder)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
     # one row per partition of the table, so neither the window nor the broadcast grows with the data
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,7 +47,7 @@ def with_row_numbers(df, order):
     )
 
 
-def with_chunks(df, order, rows=fixed.CHUNK_ROWS):
+def with_chunks(df, order, rows=fixed.CHUNK_ROWS, folder=None):
     """Add ``chunk``: rows 0..rows-1 in chunk 0 and so on."""
-    numbered = with_row_numbers(df, order)
+    numbered = with_row_numbers(df, order, folder)
     return numbered.withColumn("chunk", F.floor(F.col("row_number") / rows).cast("bigint"))

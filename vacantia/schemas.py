@@ -8,10 +8,13 @@ POSTING = (
     "id string, updated_at string, is_recruiter boolean, ats string, skill_level string, "
     f"workplaceType string, scraped_at timestamp, source string, salary {SALARY}"
 )
-SLIM_COLUMNS = [
-    "title", "company", "location", "url", "ats", "skill_level", "is_recruiter",
-    "workplaceType", "scraped_at", "remote", "coords", "salary",
-]
+#: The 12 front-end fields and the types that absent ones get.
+SLIM_TYPES = {
+    "title": "string", "company": "string", "location": "string", "url": "string", "ats": "string", "skill_level": "string",
+    "is_recruiter": "boolean", "workplaceType": "string", "scraped_at": "string", "remote": "boolean",
+    "coords": "struct<lat:double,lng:double>", "salary": SALARY,
+}
+SLIM_COLUMNS = list(SLIM_TYPES)
 # the 12 front-end fields as they stand in the chunk files
 SLIM_FILE = (
     "title string, company string, location string, url string, ats string, skill_level string, "

@@ -1,5 +1,7 @@
 """Session settings the jobs rely on."""
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -38,6 +40,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def local_session(cpus="*", app="vacantia", **extra):
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in {

@@ -5,13 +5,16 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as fixed
 from vacantia.functions.display import published_at, rfc822
 from vacantia.operators.order import canonical_order, jobs_db_order, with_chunks
-from vacantia.schemas import SLIM_COLUMNS
+from vacantia.schemas import SLIM_COLUMNS, SLIM_TYPES
+from vacantia.session import drop_path, scratch_path
+from vacantia.sources import chunk_set
+from vacantia.sources.files import read_manifest
 
 
 def slim(postings):
     """The front-end fields only; absent ones are null."""
     have = set(postings.columns)
-    return postings.select(*[F.col(n) if n in have else F.lit(None).alias(n) for n in SLIM_COLUMNS])
+    return postings.select(*[F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in SLIM_TYPES.items()])
 
 
 def with_initial(salaries):
@@ -20,36 +23,27 @@ def with_initial(salaries):
 
 
 def write_chunks(postings, folder, last_updated, rows=fixed.CHUNK_ROWS):
-    """Sorted slim postings as gzip JSON arrays of ``rows`` rows, plus the manifest.
+    """Sorted slim postings as gzip JSON arrays of ``rows`` rows, then the manifest that names them.
 
-    A chunk is one document, so its rows are gathered into one value; that is bounded by
-    ``rows``. Chunks are written in parallel, one folder each.
+    The rows are sorted once into a scratch table, which gives them their numbers, and dealt
+    out by chunk. The new set lies beside the published one until all its chunks are
+    written; the manifest then changes over in one step (``sources.chunk_set``), so a run that
+    fails leaves the old set as it was. Returns the manifest: chunks, totalJobs, last_updated.
     """
-    numbered = with_chunks(slim(postings), canonical_order(), rows)
+    spark = chunk_set.register(postings.sparkSession)
+    scratch = scratch_path(spark, "numbered")
+    numbered = with_chunks(slim(postings), canonical_order(), rows, scratch)
     fields = [
         F.when(F.col("coords").isNotNull(), F.array("coords.lat", "coords.lng")).alias("coords") if n == "coords" else F.col(n)
         for n in SLIM_COLUMNS
     ]
     lines = numbered.select("chunk", "row_number", F.to_json(F.struct(*fields)).alias("line"))
-    name = F.concat(F.lit("jobs_chunk_"), F.col("chunk"), F.lit(".json.gz"))
-    documents = lines.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("row_number", "line"))).alias("l")).select(
-        name.alias("name"), F.concat(F.lit("["), F.array_join("l.line", ",\n"), F.lit("]")).alias("value")
-    )
-    documents.write.mode("overwrite").partitionBy("name").option("compression", "gzip").text(folder)
-    manifest = chunk_manifest(numbered, last_updated)
-    _write_document(manifest, f"{folder}/jobs_manifest.json")
-    return manifest
-
-
-def chunk_manifest(numbered, last_updated):
-    """Chunk names, row total and stamp as one row."""
-    per_chunk = numbered.groupBy("chunk").agg(F.count("*").alias("rows"))
-    names = F.transform(
-        F.sort_array(F.collect_list("chunk")), lambda i: F.concat(F.lit("jobs_chunk_"), i.cast("string"), F.lit(".json.gz"))
-    )
-    return per_chunk.agg(
-        names.alias("chunks"), F.coalesce(F.sum("rows"), F.lit(0)).alias("totalJobs"), F.lit(last_updated).alias("last_updated")
-    )
+    try:
+        dealt = lines.repartition("chunk").sortWithinPartitions("chunk", "row_number").select("chunk", "line")
+        dealt.write.format(chunk_set.FORMAT).mode("overwrite").option("last_updated", last_updated).save(folder)
+    finally:
+        drop_path(spark, scratch)
+    return read_manifest(spark, folder)
 
 
 def _write_document(one_row, path):

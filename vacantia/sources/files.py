@@ -1,12 +1,15 @@
 """Readers of the files the jobs exchange: chunks, lookups, state, lists."""
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.schemas import SLIM_FILE
+from vacantia.sources import chunk_set
 
-MANIFEST = "chunks array<string>, totalJobs bigint, last_updated string"
+MANIFEST = "set string, lists array<string>, chunks array<string>, chunkCount bigint, totalJobs bigint, last_updated string"
 
 
 def or_empty(spark, read, schema):
@@ -24,25 +27,42 @@ def _document(spark, path, schema):
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_manifest(spark, folder):
+def _manifest(spark, folder):
     return or_empty(spark, lambda: _document(spark, f"{folder}/jobs_manifest.json", MANIFEST), MANIFEST)
 
 
+def read_manifest(spark, folder):
+    """Number of chunks, row total and stamp of the set in force; no row without a manifest."""
+    return _manifest(spark, folder).select(
+        F.coalesce("chunkCount", F.size("chunks").cast("bigint")).alias("chunks"), "totalJobs", "last_updated")
+
+
+def read_chunk_names(spark, folder):
+    """``name, path`` of the chunks in force, a row each: from the set's lists, or the array of a plain manifest."""
+    manifest = _manifest(spark, folder)
+    plain = manifest.select(F.explode("chunks").alias("name")).select("name", F.col("name").alias("path"))
+    fields = "name string, path string, rows bigint"
+    lists = or_empty(
+        spark, lambda: spark.read.schema(fields).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).json(folder)
+        .withColumn("_file", F.col("_metadata.file_path")), fields + ", _file string")
+    named = manifest.select(F.explode("lists").alias("_list"))
+    current = lists.withColumn("_list", F.array_join(F.slice(F.split("_file", "/"), -3, 3), "/")).join(named, "_list", "left_semi")
+    return plain.unionByName(current.select("name", "path"))
+
+
 def read_chunks(spark, folder):
-    """Slim postings of the chunk files the manifest names; absent chunks are skipped."""
-    named = read_manifest(spark, folder).select(F.explode("chunks").alias("_name"))
-    rows = or_empty(
-        spark,
-        lambda: spark.read.schema(SLIM_FILE).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.gz").json(folder).withColumn("_path", F.col("_metadata.file_path")),
-        SLIM_FILE + ", _path string",
-    )
-    # a chunk is a file, or a folder with one file as Spark writes it
-    parts = F.split("_path", "/")
-    leaf, parent = F.element_at(parts, -1), F.element_at(parts, -2)
-    folder_name = F.regexp_replace(parent, "^name=", "")
-    rows = rows.withColumn("_name", F.when(leaf.startswith("part-"), folder_name).otherwise(leaf))
-    return with_coords(rows.join(named, "_name", "left_semi").drop("_name", "_path"))
+    """Slim postings of the chunks that the manifest names; absent chunks are skipped.
+
+    Only named files are opened: a stray, older or half-written file below the folder is not.
+    """
+    documents = chunk_set.register(spark).read.format(chunk_set.FORMAT).load(folder)
+    rows = F.from_json("value", f"array<struct<{_struct(SLIM_FILE)}>>")
+    return with_coords(documents.select(F.explode(rows).alias("row")).select("row.*"))
+
+
+def _struct(ddl):
+    """Columns of a DDL text as the fields of a struct."""
+    return ", ".join(f.strip().replace(" ", ":", 1) for f in re.split(r",\s*(?=\w+ )", ddl))
 
 
 def with_coords(rows):
