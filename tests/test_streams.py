@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.operators import merge, seen
 from vacantia.plans import jobs as whole_jobs
 from vacantia.schemas import PAGE_SNAPSHOT, STATE_SEEN
-from vacantia.streaming import cycles, keyed, tables
+from vacantia.streaming import buckets, cycles, keyed, tables
 
 
 def land(df, folder, pieces):
@@ -33,16 +34,68 @@ def test_merge_stream_equals_batches(spark, tmp_path):
         "url string, ats string, company string, title string, scraped_at string, n int")
     pieces = ["n < 8", "n >= 8 AND n < 14", "n >= 14"]
     land(df, str(tmp_path / "in"), pieces)
-    stamp = F.lit("2026-06-14 12:00:00").cast("timestamp")
+    # the last run is so late that only its own rows and those of June still count
+    stamps = ["2026-06-14 12:00:00", "2026-06-15 12:00:00", "2026-07-09 12:00:00"]
     stream = cycles.files(spark, str(tmp_path / "in"), df.schema)
-    cycles.merge_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), stamp, ["n"]).awaitTermination()
+    cycles.merge_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lambda e: stamps[e], ["n"], n_buckets=3).awaitTermination()
     state = df.limit(0)
-    for piece in pieces:
-        state = merge.merge(state.drop("posting_key"), df.filter(piece), stamp, ["n"])
-    got = spark.read.parquet(tables.version_path(str(tmp_path / "out"), 2))
+    for piece, stamp in zip(pieces, stamps):
+        state = merge.merge(state.drop("posting_key"), df.filter(piece), F.lit(stamp).cast("timestamp"), ["n"])
+    got = cycles.merged_table(spark, str(tmp_path / "out"), df.schema)
     assert sorted(r.n for r in got.collect()) == sorted(r.n for r in state.collect())
 
 
+def files_of(spark, path, version):
+    """Files of every bucket in force after a batch."""
+    index, _, _ = buckets.read_index(spark, path, version)
+    return {b: sorted(os.listdir(f"{path}/data/version={v}/bucket={b}")) for b, v in index.items()}
+
+
+def test_a_batch_rewrites_its_own_buckets_only(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(f"u{i}", "Lever", "c", f"t{i}", "2026-06-10T00:00:00Z", i) for i in range(60)] + [("u3", "Lever", "c", "new", "2026-05-20T00:00:00Z", 99)],
+        "url string, ats string, company string, title string, scraped_at string, n int")
+    path = str(tmp_path / "out")
+    stamps = ["2026-06-14 00:00:00", "2026-06-15 00:00:00", "2026-06-16 00:00:00", "2026-07-20 00:00:00"]
+
+    def run(piece):
+        land(df, str(tmp_path / "in"), [piece])
+        cycles.merge_stream(cycles.files(spark, str(tmp_path / "in"), df.schema), path, str(tmp_path / "cp"), lambda e: stamps[e], ["n"], n_buckets=8).awaitTermination()
+
+    run("n < 60")
+    run("n = 99")
+    first, second = files_of(spark, path, 0), files_of(spark, path, 1)
+    changed = [b for b in first if first[b] != second[b]]
+    assert len(first) == 8 and len(changed) == 1 and os.listdir(f"{path}/data/version=1").count(f"bucket={changed[0]}") == 1
+    rows = {r["url"]: r["title"] for r in cycles.merged_table(spark, path, df.schema).collect()}
+    assert len(rows) == 60 and rows["u3"] == "new"
+    run("n > 1000")  # a batch without rows
+    assert files_of(spark, path, 2) == second
+    # a batch that is run again overwrites its own version
+    buckets_before = files_of(spark, path, 1)
+    assert buckets.drop_old(spark, path, keep=2) == 1 and files_of(spark, path, 1) == buckets_before
+    assert cycles.merged_table(spark, path, df.schema).count() == 60
+    run("n = 5")  # 40 days later: the others are too old, though their buckets were not touched
+    assert [r["n"] for r in cycles.merged_table(spark, path, df.schema).collect()] == [5]
+    with pytest.raises(Exception, match="restore its checkpoint"):
+        cycles.merge_stream(cycles.files(spark, str(tmp_path / "in"), df.schema), path, str(tmp_path / "lost"), lambda e: stamps[0], ["n"], n_buckets=8).awaitTermination()
+    with pytest.raises(Exception, match="8 buckets"):
+        land(df, str(tmp_path / "in"), ["n = 6"])
+        cycles.merge_stream(cycles.files(spark, str(tmp_path / "in"), df.schema), path, str(tmp_path / "cp"), lambda e: stamps[3], ["n"], n_buckets=9).awaitTermination()
+
+
+def test_bucketed_state_starts_from_a_table(spark, tmp_path):
+    df = spark.createDataFrame([("Lever", "a"), ("Lever", "b"), ("Ashby", "a"), (None, None)], cycles.DEAD)
+    land(df, str(tmp_path / "in"), ["slug = 'a'", "slug IS NULL"])
+    assert buckets.read_state(spark, str(tmp_path / "none"), cycles.DEAD).count() == 0 and buckets.last_stamp(spark, str(tmp_path / "none")) is None
+    buckets.fold_buckets(
+        cycles.files(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), cycles.DEAD, ["platform", "slug"],
+        lambda batch, state, epoch: state.union(batch).distinct(), str(tmp_path / "cp"), stamp=str, initial=df.filter("slug = 'b'"), buckets=4).awaitTermination()
+    got = buckets.read_state(spark, str(tmp_path / "out"), cycles.DEAD).collect()
+    assert sorted(map(str, got)) == sorted(map(str, df.collect()))
+    assert buckets.last_stamp(spark, str(tmp_path / "out")) == "1"
+
+
 def test_alert_stream_equals_cycles(spark, tmp_path):
     df = spark.createDataFrame(
         [("IT Manager", "acme", f"https://x.com/{i % 4}", "Lever", "Remote", True, "senior", False, i) for i in range(9)]

@@ -18,7 +18,7 @@ from vacantia.plans.registry import ORACLES, query
 from vacantia.session import checkpoint_dir
 from vacantia.sinks import files as sinks
 from vacantia.sources import files as sources
-from vacantia.streaming import cycles, keyed, tables
+from vacantia.streaming import buckets, cycles, keyed, tables
 
 KEYS, P, SLIM = sql.KEYS, sql.P, sql.SLIM
 ORD = sample.ORDER
@@ -320,10 +320,8 @@ def t04(spark, sf):
     landing, state = folder(spark, "scrapes"), folder(spark, "merged")
     per_batch = land([rows.filter(F.floor(c("l_linenumber") / 3) == b) for b in range(3)], landing)
     stream = cycles.files(spark, landing, rows.schema, per_batch)
-    stamp = F.lit(AS_OF).cast("timestamp")
-    cycles.merge_stream(stream, state, folder(spark, "progress"), stamp, ORD).awaitTermination()
-    version = tables.latest_version(spark, state)
-    return spark.read.parquet(tables.version_path(state, version)).select(*ORD, c("posting_key").alias("k"))
+    cycles.merge_stream(stream, state, folder(spark, "progress"), lambda epoch: AS_OF, ORD, n_buckets=16).awaitTermination()
+    return cycles.merged_table(spark, state, rows.schema).select(*ORD, c("posting_key").alias("k"))
 
 
 @query("t05_progressive_stats", P + " SELECT count(*) AS jobs, count(DISTINCT company) AS companies FROM p")
@@ -340,8 +338,8 @@ def t06(spark, sf):
     rows = fetches(spark, sf).filter("status_code = 404").select(c("ats").alias("platform"), "slug").distinct()
     landing, state = folder(spark, "dead"), folder(spark, "cache")
     per_batch = land([rows.filter("hash(slug) % 2 = 0"), rows.filter("hash(slug) % 2 <> 0"), rows], landing)
-    cycles.dead_slug_stream(cycles.files(spark, landing, rows.schema, per_batch), state, folder(spark, "progress")).awaitTermination()
-    return tables.read_latest(spark, state, "platform string, slug string")
+    cycles.dead_slug_stream(cycles.files(spark, landing, rows.schema, per_batch), state, folder(spark, "progress"), n_buckets=16).awaitTermination()
+    return buckets.read_state(spark, state, cycles.DEAD)
 
 
 @query("t08_status_stream", "WITH " + ST + """, f AS (SELECT key, list_reduce(list_prepend('', list(status ORDER BY ts, event_id)),

@@ -1,14 +1,14 @@
 """The recurring jobs as streams over landing folders."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from vacantia import fixed_values as fixed
 from vacantia.operators import facets, merge, seen
 from vacantia.operators.joins import last_per_group
 from vacantia.plans.jobs import alert_cycle
 from vacantia.schemas import STATE_SEEN
-from vacantia.streaming.tables import fold, read_version, version_before, version_path
+from vacantia.streaming import buckets
+from vacantia.streaming.tables import fold, latest_version, read_version, version_before, version_path
 
 
 def files(spark, path, schema, per_batch=1, file_format="parquet"):
@@ -33,14 +33,36 @@ def seen_stream(sightings, path, checkpoint, days=fixed.PRUNE_DAYS, initial=None
     return fold(sightings, path, STATE_SEEN, step, checkpoint, initial)
 
 
-def merge_stream(scrapes, path, checkpoint, as_of, order, days=fixed.RETENTION_DAYS, initial=None):
-    """Rolling table of postings: every landed scrape is laid over the kept rows."""
-    schema = StructType([*scrapes.schema.fields, StructField("posting_key", StringType())])
+def merge_stream(scrapes, path, checkpoint, as_of, order, days=fixed.RETENTION_DAYS, initial=None, n_buckets=buckets.BUCKETS):
+    """Rolling table of postings: every landed scrape is laid over the kept rows of its buckets.
 
-    def step(batch, state):
-        return merge.merge(state.drop("posting_key"), batch, as_of, order, days)
+    ``as_of(epoch)`` is the time of each run as text, never before the one of the run before. Rows that grow
+    too old leave with the next batch that touches their bucket; ``merged_table`` leaves them out before that.
+    """
+    def step(batch, state, epoch):
+        stamp = F.lit(as_of(epoch)).cast("timestamp")
+        return merge.merge(state.drop("posting_key"), batch.drop("posting_key"), stamp, order, days)
+
+    return buckets.fold_buckets(
+        scrapes, path, buckets.with_fields(scrapes.schema, "posting_key string"), ["posting_key"], step, checkpoint,
+        prepare=merge.with_posting_key, stamp=as_of, initial=initial, buckets=n_buckets)
 
-    return fold(scrapes, path, schema, step, checkpoint, initial)
+
+def merged_table(spark, path, schema, days=fixed.RETENTION_DAYS):
+    """The rolling table after the last run; rows too old by then are left out.
+
+    Buckets that the last run touched have had their old rows dropped by it; its own rows stay
+    whatever their age, as in ``merge``.
+    """
+    schema = buckets.with_fields(schema, "posting_key string")
+    version = latest_version(spark, f"{path}/index")
+    if version is None:
+        return spark.createDataFrame([], schema)
+    index, _, stamp = buckets.read_index(spark, path, version)
+    now, before = [{b: v for b, v in index.items() if (v == version) == touched} for touched in (True, False)]
+    kept = buckets.read_buckets(spark, path, before, schema).filter(
+        merge.is_fresh(F.col("scraped_at"), F.lit(stamp).cast("timestamp"), days))
+    return buckets.read_buckets(spark, path, now, schema).union(kept)
 
 
 def alert_stream(postings, snapshots, path, checkpoint, as_of, row_id, keep=(), days=fixed.PRUNE_DAYS, **answers):
@@ -83,12 +105,15 @@ def board_progress(spark, path, version):
     )
 
 
-def dead_slug_stream(dead, path, checkpoint):
-    """Cache of dead slugs that grows run by run."""
-    def step(batch, state):
+DEAD = "platform string, slug string"
+
+
+def dead_slug_stream(dead, path, checkpoint, n_buckets=buckets.BUCKETS):
+    """Cache of dead slugs (``DEAD``) that grows run by run, in buckets; ``buckets.read_state`` reads it."""
+    def step(batch, state, epoch):
         return state.union(batch.select("platform", "slug")).distinct()
 
-    return fold(dead, path, "platform string, slug string", step, checkpoint)
+    return buckets.fold_buckets(dead, path, DEAD, ["platform", "slug"], step, checkpoint, buckets=n_buckets)
 
 
 STATUS = "key string, status string, ts timestamp, event_id bigint"
