@@ -23,14 +23,21 @@ def jobs_db_order():
 def with_row_numbers(df, order, folder=None):
     """Add ``row_number`` (from 0) in the given order without a single-task window.
 
-    The table is range-partitioned and sorted once and written to ``folder`` (by default a new one
-    among the intermediate tables), which the caller may drop once the result is used; row
-    counts per partition then turn positions within partitions into global ones.
+    The table is range-partitioned and sorted once, then numbered by ``number_rows``.
+    """
+    return number_rows(df.repartitionByRange(*order).sortWithinPartitions(*order), folder)
+
+
+def number_rows(df, folder=None):
+    """Add ``row_number`` (from 0) to a sorted table, in the order its rows have.
+
+    The table is written to ``folder`` (by default a new one among the intermediate tables),
+    which the caller may drop once the result is used; row counts per partition then turn
+    positions within partitions into global ones.
     """
     folder = folder or scratch_path(df.sparkSession, "numbered")
     placed = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+        df.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
         .withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_id")
     )

@@ -120,19 +120,29 @@ def a05(spark, sf):
 _BODY = "(CASE o_orderkey % 5 WHEN 0 THEN 'posting has expired' WHEN 1 THEN 'Salary $120,000' ELSE 'open ' || o_orderpriority END)"
 
 
-@query("j09_page_join", P + """, o AS (SELECT * FROM (SELECT 'https://jobs.example.com/p/' || CAST(o_orderkey % 5000 AS VARCHAR) AS url, o_orderkey, row_number() OVER (
-    PARTITION BY o_orderkey % 5000 ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o.o_orderkey % 5 <> 0 OR o.o_orderkey IS NULL AS is_live,
-    CASE WHEN o.o_orderkey % 5 = 1 THEN '$120,000' END AS salary_posted FROM p LEFT JOIN o ON o.url = p.url WHERE ats = 'Lever' AND p.url <> ''""")
+# a landed page per order for every form of url that the postings have
+_LANDED_URLS = [
+    "'https://jobs.example.com/p/' || CAST(o_orderkey % 5000 AS STRING)",
+    "'https://careers-supplier.icims.com/jobs/' || CAST(o_orderkey % 5000 AS STRING) || '/job'",
+    "'https://supplier-' || CAST(4 + 6 * (o_orderkey % 4) AS STRING) || '.wd1.myworkdayjobs.com/careers/jobs/' || CAST(o_orderkey % 5000 AS STRING) || '-x' || CAST(o_orderkey % 7 + 1 AS STRING)",
+]
+
+
+@query("j09_page_join", P + ", o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM (" + " UNION ALL ".join(
+    f"SELECT {url.replace('AS STRING', 'AS VARCHAR')} AS url, o_orderkey, o_orderdate FROM orders" for url in _LANDED_URLS) + """)) WHERE rn = 1)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o.o_orderkey IS NULL OR (o.o_orderkey % 5 <> 0 AND ats <> 'iCIMS') AS is_live,
+    CASE WHEN o.o_orderkey % 5 = 0 THEN 'closed_phrase' WHEN o.o_orderkey IS NOT NULL AND ats = 'iCIMS' THEN 'no_location' END AS close_reason,
+    CASE WHEN o.o_orderkey % 5 = 1 AND ats <> 'iCIMS' THEN '$120,000' END AS salary_posted FROM p LEFT JOIN o ON o.url = p.url WHERE p.url <> ''""")
 def j09(spark, sf):
+    """Jobs of all platforms against the page last landed at their url."""
     snapshots = sample.table(spark, sf, "orders").selectExpr(
-        "'https://jobs.example.com/p/' || CAST(o_orderkey % 5000 AS STRING) AS url", "CAST(NULL AS STRING) AS final_url",
+        f"explode(array({', '.join(_LANDED_URLS)})) AS url", "CAST(NULL AS STRING) AS final_url",
         "200 AS http_status", "'Boss' AS title", "'' AS html", f"{_BODY} AS body_text", "CAST(NULL AS STRING) AS fetch_error",
         "o_orderdate AS fetched_at", "o_orderkey")
-    jobs = sample.postings(spark, sf).filter("ats = 'Lever' AND url <> ''").selectExpr(
+    jobs = sample.postings(spark, sf).filter("url <> ''").selectExpr(
         *ORD, "url AS application_url", "ats AS platform_source", "CAST(NULL AS DATE) AS date_posted")
     landed = verify.latest_snapshots(snapshots, ["fetched_at", "o_orderkey"]).drop("o_orderkey")
-    return verify.verify(jobs, landed, AS_OF).select(*ORD, "is_live", "salary_posted")
+    return verify.verify(jobs, landed, AS_OF).select(*ORD, "is_live", "close_reason", "salary_posted")
 
 
 @query("j10_embed_verdicts", PG + """ SELECT url, kind = 17 AS is_live, CASE kind WHEN 17 THEN 'Remote' END AS location FROM pg WHERE kind IN (17, 18)""")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.functions import display
-from vacantia.operators import alerts, facets, reports
+from vacantia.operators import alerts, facets, order, reports
 from vacantia.plans import oracle_parts as sql
 from vacantia.plans import sample_tables as sample
 from vacantia.plans.queries_postings import AS_OF, alert_rows, as_of
@@ -139,19 +139,15 @@ _NAME = "CASE l_orderkey % 3 WHEN 0 THEN CAST(l_partkey AS STRING) || ' Co' WHEN
 
 
 @query("o03_column_sort", P + f""", r AS (SELECT {KEYS}, {_NAME} AS name FROM p)
-    SELECT {KEYS}, name, row_number() OVER (ORDER BY regexp_matches(lower(name), '^[0-9]'), lower(name) DESC, {KEYS}) AS place FROM r
-    ORDER BY place LIMIT 50""")
+    SELECT {KEYS}, name, row_number() OVER (ORDER BY regexp_matches(lower(name), '^[0-9]'), lower(name) DESC, {KEYS}) AS place FROM r""")
 def o03(spark, sf):
     rows = sample.postings(spark, sf).selectExpr(*ORD, f"{_NAME} AS name")
-    top = rows.orderBy(*facets.sort_keys(c("name"), ascending=False), *ORD).limit(50)
-    return _placed(top, [*facets.sort_keys(c("name"), ascending=False), *ORD])
+    return _placed(rows.orderBy(*facets.sort_keys(c("name"), ascending=False), *ORD))
 
 
-def _placed(top, keys):
-    """Place numbers of an already limited report."""
-    from pyspark.sql import Window
-
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+def _placed(rows):
+    """The place (from 1) of every row of a sorted table, in the order the rows came."""
+    return order.number_rows(rows).withColumn("place", c("row_number") + 1).drop("row_number")
 
 
 _SEEN_DAY = f"({sql.TODAY} - CAST(l_orderkey % 45 AS INT))"
@@ -171,25 +167,22 @@ def board(spark, sf):
         f"{_VERIFIED} AS location_verified", f"{_CHECKED} AS liveness_checked_at")
 
 
-@query("o04_alert_sort", BOARD + f""" SELECT {KEYS}, row_number() OVER (ORDER BY coalesce(date_posted, first_seen) DESC NULLS LAST, {KEYS}) AS place FROM d
-    ORDER BY place LIMIT 40""")
+@query("o04_alert_sort", BOARD + f""" SELECT {KEYS}, row_number() OVER (ORDER BY coalesce(date_posted, first_seen) DESC NULLS LAST, {KEYS}) AS place FROM d""")
 def o04(spark, sf):
-    keys = [*facets.alert_sort_keys("first_seen", ascending=False), *ORD]
-    return _placed(board(spark, sf).orderBy(*keys).limit(40), keys).select(*ORD, "place")
+    rows = board(spark, sf).select(*ORD, "date_posted", "first_seen")
+    return _placed(rows.orderBy(*facets.alert_sort_keys("first_seen", ascending=False), *ORD)).select(*ORD, "place")
 
 
-@query("o04_nulls_last", BOARD + f" SELECT {KEYS}, date_posted FROM d ORDER BY date_posted ASC NULLS LAST, {KEYS} LIMIT 40")
+@query("o04_nulls_last", BOARD + f" SELECT {KEYS}, date_posted, row_number() OVER (ORDER BY date_posted ASC NULLS LAST, {KEYS}) AS place FROM d")
 def o04_nulls(spark, sf):
-    return board(spark, sf).orderBy(*facets.alert_sort_keys("date_posted"), *ORD).limit(40).select(*ORD, "date_posted")
+    rows = board(spark, sf).select(*ORD, "date_posted")
+    return _placed(rows.orderBy(*facets.alert_sort_keys("date_posted"), *ORD))
 
 
-@query("o05_jobs_db_order", BOARD + f""" SELECT job_id, first_seen, row_number() OVER (ORDER BY first_seen DESC, lower(company) DESC, job_id, {KEYS}) AS place FROM d
-    ORDER BY place LIMIT 60""")
+@query("o05_jobs_db_order", BOARD + " SELECT job_id, first_seen, row_number() OVER (ORDER BY first_seen DESC, lower(company) DESC, job_id) AS place FROM d")
 def o05(spark, sf):
-    from vacantia.operators.order import jobs_db_order
-
-    keys = [*jobs_db_order(), *ORD]
-    return _placed(board(spark, sf).orderBy(*keys).limit(60), keys).select("job_id", "first_seen", "place")
+    rows = board(spark, sf).select("job_id", "first_seen", "company")
+    return _placed(jobs_db(rows, AS_OF)[1]).select("job_id", "first_seen", "place")
 
 
 @query("k07_jobs_db", BOARD + " SELECT '2026-06-14T12:00:00Z' AS last_updated, count(*) AS total FROM d")
@@ -313,17 +306,10 @@ def k08_empty(spark, sf):
     return feed_items(none, AS_OF, "https://feeds.example.com/alerts")
 
 
-@query("o06_feed_order", BOARD + f""", f AS (SELECT * FROM d WHERE {sql.KEPT})
-    SELECT guid, place FROM (SELECT job_id AS guid, row_number() OVER (ORDER BY coalesce(date_posted, first_seen) DESC, job_id) AS place FROM
-    (SELECT DISTINCT job_id, date_posted, first_seen FROM f)) ORDER BY place LIMIT 30""")
+@query("o06_feed_order", BOARD + f""" SELECT job_id AS guid, row_number() OVER (ORDER BY coalesce(date_posted, first_seen) DESC, job_id) AS place
+    FROM d WHERE {sql.KEPT}""")
 def o06(spark, sf):
-    from pyspark.sql import Window
-
-    jobs = alerts.filter_jobs(board(spark, sf)).select("job_id", "date_posted", "first_seen").distinct()
-    stamp = display.published_at(c("date_posted").cast("string"), c("first_seen").cast("string"), as_of())
-    top = jobs.select(c("job_id").alias("guid"), stamp.alias("published")).orderBy(c("published").desc(), "guid").limit(30)
-    place = F.row_number().over(Window.orderBy(c("published").desc(), "guid")).cast("bigint")
-    return top.select("guid", place.alias("place"))
+    return _placed(feed_items(alerts.filter_jobs(board(spark, sf)), AS_OF, "https://feeds.example.com/alerts")).select("guid", "place")
 
 
 # ---- probes ---------------------------------------------------------------------
@@ -358,10 +344,9 @@ def a12_dead(spark, sf):
     return reports.dead_probes(sample.probes(spark, sf))
 
 
-@query("o09_candidates", PR + f" SELECT event_id, {_OK} AS ok, platform, slug FROM pr ORDER BY ok DESC, platform, slug, event_id LIMIT 100")
+@query("o09_candidates", PR + f" SELECT {_OK} AS ok, platform, slug, row_number() OVER (ORDER BY {_OK} DESC, platform, slug) AS place FROM pr")
 def o09(spark, sf):
-    rows = reports.candidate_results(sample.probes(spark, sf))
-    return rows.orderBy(c("ok").desc(), "platform", "slug", "event_id").limit(100).select("event_id", "ok", "platform", "slug")
+    return _placed(reports.candidate_results(sample.probes(spark, sf))).select("ok", "platform", "slug", "place")
 
 
 @query("a14_watch_list_sizes", PR + " SELECT platform, count(DISTINCT slug) AS companies FROM pr GROUP BY platform")
