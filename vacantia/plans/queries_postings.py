@@ -6,7 +6,7 @@ from vacantia import fixed_values as fixed
 from vacantia.functions import classify, display
 from vacantia.functions.money import thousands
 from vacantia.functions.text import first_non_empty, strip
-from vacantia.operators import alerts, clean, merge, order, reports
+from vacantia.operators import alerts, clean, companies, merge, order, reports
 from vacantia.operators.joins import first_per_group, last_per_group
 from vacantia.plans import oracle_parts as sql
 from vacantia.plans import sample_tables as sample
@@ -299,7 +299,8 @@ def u01(spark, sf):
 @query("u02_company_union", "SELECT s_name AS slug FROM supplier UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier")
 def u02(spark, sf):
     suppliers = sample.table(spark, sf, "supplier").select(c("s_name").alias("slug"))
-    return suppliers.union(sample.table(spark, sf, "customer").select("c_name")).union(suppliers).distinct()
+    customers = sample.table(spark, sf, "customer").select(c("c_name").alias("slug"))
+    return companies.company_union(suppliers, customers, suppliers)
 
 
 _DEAD = "SELECT DISTINCT ats, slug FROM f WHERE status_code IN (404, 410)"
@@ -308,20 +309,20 @@ _DEAD = "SELECT DISTINCT ats, slug FROM f WHERE status_code IN (404, 410)"
 @query("u03_live_companies", FETCHES + f" SELECT DISTINCT ats, slug FROM f EXCEPT {_DEAD}")
 def u03(spark, sf):
     rows = fetches(spark, sf)
-    return rows.select("ats", "slug").distinct().subtract(reports.newly_dead(rows))
+    return companies.live_companies(rows, reports.newly_dead(rows))
 
 
 @query("f06_skip_dead", FETCHES + f" SELECT ats, slug, count(*) AS n FROM f WHERE (ats, slug) NOT IN ({_DEAD}) GROUP BY 1, 2")
 def f06(spark, sf):
     rows = fetches(spark, sf)
-    return rows.join(reports.newly_dead(rows), ["ats", "slug"], "left_anti").groupBy("ats", "slug").agg(F.count("*").alias("n"))
+    return companies.skip_dead(rows, reports.newly_dead(rows)).groupBy("ats", "slug").agg(F.count("*").alias("n"))
 
 
 @query("u04_dead_union", FETCHES + f" {_DEAD} UNION SELECT DISTINCT ats, slug FROM f WHERE status_code = 500")
 def u04(spark, sf):
     rows = fetches(spark, sf)
     old = rows.filter("status_code = 500").select("ats", "slug")
-    return old.union(reports.newly_dead(rows)).distinct()
+    return companies.dead_union(old, reports.newly_dead(rows))
 
 
 @query("k04_all_companies", P + " SELECT DISTINCT company FROM p WHERE company <> ''")

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.functions import display
-from vacantia.operators import alerts, facets, order, reports
+from vacantia.operators import alerts, facets, order, order_index, reports
 from vacantia.plans import oracle_parts as sql
 from vacantia.plans import sample_tables as sample
 from vacantia.plans.queries_postings import AS_OF, alert_rows, as_of
 from vacantia.plans.registry import query
+from vacantia.session import scratch_path
 from vacantia.sinks.files import feed_items, jobs_db
 
 P, SLIM, KEYS, ALERT = sql.P, sql.SLIM, sql.KEYS, sql.ALERT
@@ -202,6 +203,28 @@ def o07_range(spark, sf):
     return facets.page(rows, ["title", *ORD], number=10**9)
 
 
+def _stored_titles(spark, sf):
+    """The postings with a title, stored in the order of their titles; path, schema and order."""
+    rows = slim(spark, sf).filter("title IS NOT NULL").select(*ORD, "title", "skill_level")
+    keys, path = ["title", *ORD], scratch_path(spark, "order")
+    order_index.write_order(rows, keys, path, rows=4000)
+    return path, rows.schema, keys
+
+
+@query("o07_deep_page", SLIM + f" SELECT {KEYS}, title, skill_level FROM s WHERE title IS NOT NULL ORDER BY title, {KEYS} LIMIT 50 OFFSET 42000")
+def o07_deep(spark, sf):
+    """Page 841 from a stored order."""
+    path, schema, keys = _stored_titles(spark, sf)
+    return order_index.page(spark, path, schema, keys, number=841, size=50)
+
+
+@query("o07_filtered_page", SLIM + f" SELECT {KEYS}, title, skill_level FROM s WHERE title IS NOT NULL AND skill_level = 'senior' ORDER BY title, {KEYS} LIMIT 100 OFFSET 5000")
+def o07_filtered(spark, sf):
+    """Page 51 of the senior jobs from the same stored order."""
+    path, schema, keys = _stored_titles(spark, sf)
+    return order_index.page(spark, path, schema, keys, number=51, size=100, where=facets.facet_equal("skill_level", "senior"))
+
+
 @query("o08_newest_matches", ALERT + f" SELECT company, job_id FROM a WHERE {sql.KEPT} ORDER BY company, job_id LIMIT 20")
 def o08(spark, sf):
     return reports.newest_matches(alerts.filter_jobs(alert_rows(spark, sf))).select("company", "job_id")
