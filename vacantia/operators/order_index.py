@@ -1,7 +1,8 @@
-"""A stored order: sorted ranges with row counts, so that a page reads its own ranges only.
+"""A stored order: sorted ranges with counts and statistics, so that a page, a box of the map or a
+search reads its own ranges only.
 
 ``data/_range=k`` holds the rows of range ``k`` of the order, ``index`` a row for each range:
-its number, its rows and the rows before it.
+its number, its rows, the rows before it and what ``stats`` asks for.
 """
 
 import math
@@ -17,24 +18,31 @@ RANGE_ROWS = 1_000_000
 INDEX = "_range int, rows bigint, start bigint"
 
 
-def write_order(df, order, path, rows=RANGE_ROWS):
+def write_order(df, order, path, rows=RANGE_ROWS, stats=None):
     """Store ``df`` in the given order, in ranges of about ``rows`` rows.
 
     ``order`` should end in columns that identify a row: rows that tie cannot be parted. The
-    table is counted, sampled for its splitters, and shuffled once.
+    table is counted, sampled for its splitters, and shuffled once. ``stats`` (name to
+    aggregate) go into the index, a value for each range.
     """
     ranges = max(1, math.ceil(df.count() / rows))
     placed = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     placed.sortWithinPartitions("_range", *order).write.mode("overwrite").partitionBy("_range").parquet(f"{path}/data")
     written = df.sparkSession.read.schema(placed.schema).parquet(f"{path}/data")
-    counts = written.groupBy("_range").agg(F.count("*").alias("rows"))
+    counts = written.groupBy("_range").agg(F.count("*").alias("rows"), *[agg.alias(n) for n, agg in (stats or {}).items()])
     _started(counts).write.mode("overwrite").parquet(f"{path}/index")
 
 
 def _started(counts):
     """Counts per range with the rows before each: one row per range, 10 ** 6 of them for 10 ** 12 rows."""
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("_range", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    return counts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+
+
+def read_ranges(spark, path, schema, ranges):
+    """Rows of some ranges; no other file is listed."""
+    folders = [f"{path}/data/_range={k}" for k in ranges]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def page(spark, path, schema, order, number=1, size=fixed.PAGE_SIZES[0], where=None):
@@ -57,7 +65,7 @@ def page(spark, path, schema, order, number=1, size=fixed.PAGE_SIZES[0], where=N
     ranges = index.filter(overlap).orderBy("_range").select("_range", "start").collect()
     if not ranges:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(*[f"{path}/data/_range={r['_range']}" for r in ranges])
+    rows = read_ranges(spark, path, schema, [r["_range"] for r in ranges])
     if where is not None:
         rows = rows.filter(where)
     return rows.orderBy(*order).offset(first - ranges[0]["start"]).limit(size)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.functions import display
-from vacantia.operators import alerts, facets, order, order_index, reports
+from vacantia.operators import alerts, facets, map_layout, order, order_index, reports, sketches, text_index
 from vacantia.plans import oracle_parts as sql
 from vacantia.plans import sample_tables as sample
 from vacantia.plans.queries_postings import AS_OF, alert_rows, as_of
@@ -389,3 +389,52 @@ def s22(spark, sf):
     from vacantia.sources.files import parse_candidates
 
     return parse_candidates(sample.table(spark, sf, "events").selectExpr(f"{_LINE} AS value"))
+
+
+# ---- stored layouts -------------------------------------------------------------
+_BOX = (26, -100.5, 31, -97.5)
+
+
+@query("f19_stored_viewport", SLIM + f" SELECT {KEYS} FROM s WHERE lat BETWEEN {_BOX[0]} AND {_BOX[2]} AND lng BETWEEN {_BOX[1]} AND {_BOX[3]}")
+def f19_stored(spark, sf):
+    """A box of the map over postings stored along the curve."""
+    rows, path = slim(spark, sf).select(*ORD, "coords"), scratch_path(spark, "map")
+    map_layout.write_map(rows, path, ties=ORD, rows=4000)
+    return map_layout.viewport(spark, path, rows.schema, *_BOX).select(*ORD)
+
+
+@query("a08_stored_heatmap", SLIM + """ SELECT count(*) AS points, CAST(sum(n) AS BIGINT) AS jobs FROM (
+    SELECT lat, lng, count(*) AS n FROM s WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 75)""")
+def a08_stored(spark, sf):
+    """The heatmap over the same layout, whole world."""
+    rows, path = slim(spark, sf).select(*ORD, "coords"), scratch_path(spark, "map")
+    map_layout.write_map(rows, path, ties=ORD, rows=4000)
+    cells = facets.heatmap(map_layout.viewport(spark, path, rows.schema, -90, -180, 90, 180))
+    return cells.agg(F.count("*").alias("points"), F.sum("n").alias("jobs"))
+
+
+@query("f14_indexed_terms", SLIM + f" SELECT {KEYS} FROM s WHERE contains(lower(title), 'level 4')")
+def f14_indexed(spark, sf):
+    """Titles with a term, by the index of trigrams."""
+    rows, path = slim(spark, sf).select(*ORD, "title"), scratch_path(spark, "titles")
+    text_index.write_text_index(rows, ["title"], ["title", *ORD], path, rows=4000)
+    return text_index.search(spark, path, rows.schema, "Level 4", facets.facet_any_term(c("title"), "Level 4")).select(*ORD)
+
+
+@query("f10_indexed_documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'apache')")
+def f10_indexed(spark, sf):
+    """Documents with a word, by the index of trigrams."""
+    rows, path = sample.table(spark, sf, "documents").select("doc_id", "text"), scratch_path(spark, "texts")
+    text_index.write_text_index(rows, ["text"], ["doc_id"], path, rows=50)
+    return text_index.search(spark, path, rows.schema, "Apache", facets.facet_any_term(c("text"), "Apache")).select("doc_id")
+
+
+@query("a03_sketched_stats", SLIM + """, d AS (SELECT ats, count(*) AS jobs, count(DISTINCT nullif(company, '')) AS companies FROM s GROUP BY ats)
+    SELECT ats, jobs, true AS within FROM d""")
+def a03_sketched(spark, sf):
+    """Companies per platform from sketches, against the exact count: within three standard errors."""
+    rows = slim(spark, sf).select("ats", "company", "is_recruiter", "l_linenumber")
+    chunks = sketches.sketched(rows, "ats", "l_linenumber")  # as if every line number had been a chunk
+    exact = rows.groupBy("ats").agg(F.count_distinct(F.nullif(c("company"), F.lit(""))).alias("exact"))
+    both = sketches.united(chunks, "ats").join(exact, "ats")
+    return both.select("ats", "jobs", (F.abs(c("companies") - c("exact")) <= 0.05 * c("exact")).alias("within"))
