@@ -20,7 +20,7 @@ def morton(lat, lng):
     """Code whose order keeps near points near: bits of latitude and longitude in turn; null without a point."""
     def cell(value, low, span):
         part = F.floor((value - low) / span * (1 << BITS)).cast("bigint")
-        return F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), part))
+        return F.when(part.isNotNull(), F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), part)))
 
     return F.shiftleft(_spread(cell(lat, -90, 180)), 1).bitwiseOR(_spread(cell(lng, -180, 360)))
 
