@@ -408,6 +408,30 @@ def test_shards_hold_the_mixture(spark, docs, none):
     assert shards.assign(none).count() == 0
 
 
+def test_shards_cut_rows_of_one_id_too(spark, monkeypatch, tmp_path):
+    """60,000 rows without an id in one source, half of them wholly equal: even tasks, whole shards."""
+    folders = []
+
+    def numbered(df, order):
+        folders.append(str(tmp_path / str(len(folders))))
+        return with_row_numbers(df, order, folders[-1])
+
+    with_row_numbers = shards.with_row_numbers
+    monkeypatch.setattr(shards, "with_row_numbers", numbered)
+    text = F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string"))
+    hot = spark.range(60_000).select(F.lit(None).cast("bigint").alias("doc_id"), text.alias("text"), F.lit("hot").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = shards.assign(hot, 24).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 24 and all((r["n"], r["slots"], r["last"]) == (2500, 2500, 2499) for r in got)
+    for folder in folders:
+        tasks = [r["count"] for r in spark.read.parquet(folder).groupBy("_part").count().collect()]
+        assert len(tasks) == 8 and max(tasks) < 2 * 60_000 / 8
+    assert len(folders) == 2
+
+
 def test_chain_against_every_path():
     rnd = random.Random(7)
     for _ in range(60):

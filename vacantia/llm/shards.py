@@ -1,37 +1,14 @@
 """Sharding by proportional stratified interleaving (operator 8); DataFrame functions only."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.shared import stored
+from vacantia.operators.joins import lookup_join
+from vacantia.operators.order import with_row_numbers
 
-#: Slots of an exact rank: rows are counted per slot and only ordered inside one.
-SLOTS = 4096
 SEED = "shard-1"
 
 
-def _ranks(rows, within, slot, order, name):
-    """Add ``name``: the rank (from 0) of every row in ``order`` among those with equal ``within``.
-
-    ``slot`` (0 to SLOTS - 1) must grow with ``order``. Rows are counted per slot, the counts
-    are summed over at most SLOTS slots, and a window orders the rows of one slot only: a
-    stratum with a third of all rows is spread over all its slots.
-    """
-    rows = rows.withColumn("_slot", slot)
-    counts = rows.groupBy(*within, "_slot").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*within).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *[F.col(c).alias(f"_at_{c}") for c in within], F.col("_slot").alias("_at_slot"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*within, "_slot").orderBy(*order)
-    ranked = rows.withColumn("_inside", F.row_number().over(inside) - 1)
-    same = F.col("_slot") == F.col("_at_slot")
-    for c in within:
-        same &= F.col(c).eqNullSafe(F.col(f"_at_{c}"))
-    return ranked.join(counts, same).withColumn(name, F.col("_before") + F.col("_inside")).drop(
-        "_slot", "_at_slot", "_before", "_inside", *[f"_at_{c}" for c in within])
-
-
 def assign(docs, shards=24, id_col="doc_id", text_col="text", source_col="source"):
     """Shard and slot of every document: doc_id, source, size, text_crc32, shard, slot.
 
@@ -40,28 +17,34 @@ def assign(docs, shards=24, id_col="doc_id", text_col="text", source_col="source
     and cutting that order into equal runs gives every shard the mixture of the whole, with
     row counts at most one apart. ``slot`` is the place in the shard, from 0.
 
+    Both orders are sorted across the cluster in ranges that end in a number of the row's own, so
+    a source, an id or wholly equal rows with much of the table are cut like any other rows.
+
     Null ids are shuffled as one more value, rows with equal ids are ordered by checksum and
-    length of their texts; rows equal in all of that are interchangeable. Null sources form a source of their own; a null text has size 8 and
-    checksum 0; an empty table gives no rows; extra columns are ignored.
+    length of their texts; rows equal in all of that are interchangeable. Null sources form a
+    source of their own; a null text has size 8 and checksum 0; an empty table gives no rows;
+    extra columns are ignored. Texts are only measured and never travel, so a very long one
+    costs its own scan.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         (F.octet_length(text).cast("bigint") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    shuffled = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = stored(rows.withColumn("shuffle", shuffled))
-    by_shuffle = ["shuffle", "text_crc32", "size"]
-    ranked = _ranks(rows, ["source"], F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int"), by_shuffle, "rank")
-    sizes = rows.groupBy("source").agg(F.count("*").alias("in_source"))
-    sizes = sizes.select(F.col("source").alias("_source"), "in_source")
-    ranked = ranked.join(sizes, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    ranked = stored(ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("in_source"))))
-    # the slots cut the fractions evenly, so they hold equally many rows
-    slot = F.least(F.lit(SLOTS - 1), F.floor(F.col("fraction") * SLOTS)).cast("int")
-    ordered = _ranks(ranked.withColumn("_all", F.lit(0)), ["_all"], slot, ["fraction", F.col("source").asc_nulls_last(), *by_shuffle], "place")
+    rows = stored(rows.withColumns({
+        "shuffle": F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        "stratum": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),
+        "row": F.monotonically_increasing_id(),
+    }))
+    by_shuffle = ["shuffle", "text_crc32", "size", "row"]
+    ordered = with_row_numbers(rows, ["stratum", *by_shuffle])
+    strata = ordered.groupBy("stratum").agg(F.min("row_number").alias("first"), F.count("*").alias("in_source"))
+    rank = F.col("row_number") - F.col("first")
+    ranked = lookup_join(ordered, strata, "stratum").withColumn("fraction", (2 * rank + 1) / (2 * F.col("in_source")))
+    ranked = stored(ranked.drop("row_number", "first", "in_source"))
+    placed = with_row_numbers(ranked, ["fraction", F.col("source").asc_nulls_last(), *by_shuffle]).withColumnRenamed("row_number", "place")
     total = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row
     return (
-        ordered.join(total, F.lit(True))
+        placed.join(total, F.lit(True))
         # whole-number cuts: shard s starts at the first place p with p * shards >= s * total
         .withColumn("shard", F.expr(f"(place * {int(shards)}L) div total").cast("int"))
         .withColumn("slot", F.expr(f"place - (shard * total + {int(shards)}L - 1) div {int(shards)}L"))
