@@ -551,7 +551,7 @@ def licenses_of(*rows):
 
 
 def test_licenses_over_lines():
-    assert licenses_of(MIT_HEADER, BSD_HEADER, GPL_HEADER) == [["MIT"], ["BSD-3-Clause"], ["GPL-3.0"]]
+    assert licenses_of(MIT_HEADER, BSD_HEADER, GPL_HEADER) == [["MIT"], ["BSD-2-Clause / BSD-3-Clause"], ["GPL-3.0"]]
     far = "é\n" * 300
     assert licenses_of(far + GPL_HEADER + "\n" + far, "Permission is\n * hereby granted" + MIT_HEADER[32:]) == [["GPL-3.0"], ["MIT"]]
     ((place, block),) = licenses.blocks((far + GPL_HEADER).encode())
@@ -563,11 +563,48 @@ def test_every_license_of_a_block():
     grant = " ".join(MIT_HEADER.replace("#", "").split())
     late = "Copyright " + "someone and others " * 13 + grant
     assert licenses_of(two, "Copyright 2020 X. All rights reserved. " + BSD_HEADER, late) == [
-        ["MIT", "Apache-2.0"], ["proprietary", "BSD-3-Clause"], ["MIT"]]
+        ["MIT", "Apache-2.0"], ["BSD-2-Clause / BSD-3-Clause"], ["MIT"]]
     assert licenses_of(" and ".join([two, grant] * 3)) == [["MIT", "Apache-2.0", "MIT"] * 3]
     assert licenses_of("word " * 500 + "license " * 500 + two + " license" * 500) == [["MIT", "Apache-2.0"]]
 
 
+def test_telling_words_decide_between_licenses():
+    head = "This %s is free software; you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation; either version %s of the License, or (at your option) any later version."
+    assert licenses_of(head % ("program", "", "2"), head % ("program", "", "3"), head % ("library", "Lesser ", "2.1"), head % ("file", "Lesser ", "3"),
+                       head % ("program", "Affero ", "3"), head % ("program", "", "9")) == [["GPL-2.0"], ["GPL-3.0"], ["LGPL-2.1"], ["LGPL-3.0"], ["AGPL-3.0"], []]
+    lines = ["GPL-2.0-or-later", "BSD-2-Clause", "Apache-2.0 OR MIT", "ISC", "GPL-2.0-only WITH Classpath-exception-2.0"]
+    assert licenses_of(*["# SPDX-License-Identifier: " + x + "\n# more" for x in lines]) == [[x] for x in lines]
+    assert licenses_of("Copyright 2020 Me. All rights reserved.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.") == [["proprietary"], ["ISC"]]
+    assert licenses_of("Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "Licensed under CC BY-ND 4.0.") == [["CC-BY-NC-4.0"], ["CC-BY-SA-4.0"], ["CC-BY-4.0"], []]
+
+
+def test_notices_inside_notices_end():
+    inner = "Licensed under the SPDX-License-Identifier: MIT Apache License, Version 2.0."
+    assert licenses_of(inner) == [["MIT"]]
+
+
+def test_every_template_is_found_and_no_other_number(spark):
+    """Brute force over all templates: each wording by itself names its licenses, with another number none of them."""
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            if wording.startswith("SPDX"):
+                continue
+            (found,) = licenses_of(wording)
+            assert len(found) == 1 and name in found[0].split(" / "), wording
+            for number in re.findall(r"\d+(?:\.\d+)?(?!-)", wording):
+                (other,) = licenses_of(wording.replace(number, "77"))
+                assert not any(name in n.split(" / ") for n in other), wording
+
+
+def test_the_dictionaries_decide(monkeypatch):
+    """With every template given another one's dictionary the ranking no longer names the license."""
+    plain, coders = licenses._coders()
+    names = list(coders)
+    monkeypatch.setattr(licenses, "_coders", lambda: (plain, {n: coders[names[(k + 9) % len(names)]] for k, n in enumerate(names)}))
+    changed = [w for n, ws in licenses.TEMPLATES.items() for w in ws if not w.startswith("SPDX") and licenses_of(w) != [[n]]]
+    assert len(changed) > 20
+
+
 def test_every_operator_is_registered(spark):
     from vacantia.llm import queries
 

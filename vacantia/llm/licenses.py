@@ -24,6 +24,16 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -31,6 +41,7 @@ TEMPLATES = {
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "GPL-3.0": [
@@ -38,11 +49,18 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-only",
     ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
     "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-3.0-only",
     ],
     "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
@@ -77,6 +95,15 @@ CUE = re.compile(
 WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 #: Runs of letters and digits, with all bytes of longer characters: line breaks and comment marks are between them.
 RUN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Fixed words that tell licenses apart; numbers do as well. A fit that differs in one is no notice of that license.
+TELLING = frozenset([
+    "lesser", "affero", "noncommercial", "sharealike", "noderivatives", "nc", "sa", "nd", "by", "by-sa", "by-nc", "by-nd", "by-nc-sa",
+    "2-clause", "3-clause", "4-clause", "apache", "mit", "bsd", "isc", "gnu", "mozilla", "cc", "cc0",
+])
+NUMBER = re.compile(r"v?(\d+(?:\.\d+)*)")
+SPDX = re.compile(r"SPDX-License-Identifier:[^\S\n]*([\w.+-]+(?:[^\S\n]+(?:OR|AND|WITH)[^\S\n]+[\w.+-]+)*)", re.I)
+#: Templates, by size reduction, whose wordings may name a notice.
+WINNERS = 5
 #: Least share of a wording's words that a notice must hold; at most the rest of it may be added.
 PERCENT = 80
 #: Runs before and after a cue that belong to its block: the longest wording with all that may be added, twice over for hyphens.
@@ -179,43 +206,75 @@ def _fits(ids):
     return out
 
 
+def _numbers(words):
+    """The numbers among some words, 2.0 being 2."""
+    found = [NUMBER.fullmatch(w) for w in words]
+    return sorted(re.sub(r"(\.0+)+$", "", m[1]) for m in found if m)
+
+
+def _told_apart(missing, added):
+    """Whether the differences hold a word that tells licenses apart, or another number."""
+    return not TELLING.isdisjoint(missing + added) or _numbers(missing) != _numbers(added)
+
+
 def judge(block):
     """All notices of a block, by place: (place, name, reduction, missing, added, rank of reduction).
 
-    Every wording is fitted word by word at every place. The fit with the fewest differences
-    is taken, the longest wording first, its words are marked, and what is left is judged again until
-    no wording fits. Every template compresses the bytes of a notice as a raw dictionary;
-    templates are ranked by how much smaller that gets than without one, and the rank
-    decides between fits that are otherwise even.
+    Wordings are fitted word by word at every place. Every template then compresses the bytes
+    under a fit as a raw dictionary, and templates are ranked by how much smaller that gets
+    than without one. Of the first ``WINNERS`` templates the highest ranked one whose wording
+    confirms it names the notice; a fit that differs in a word that tells licenses apart does not confirm.
+    Templates with the same wording there are named together. The words of a notice are
+    marked, and what is left is judged again until nothing fits.
+
+    An SPDX line names its expression itself. "All rights reserved" counts only where its block has no license.
     """
     text = block.decode("utf-8", "replace")
     spans = [m.span() for m in WORD.finditer(text)]
     number = _wordings()[1]
     words = [text[i:j].lower() for i, j in spans]
     ids = np.array([number.get(w, 0) for w in words], np.int64)
-    out = []
-    while fits := sorted(_fits(ids), key=lambda f: f[:4]):
-        ranks, free = {}, ids >= 0
-
-        def rank(fit):
-            part = text[spans[fit[2]][0] : spans[fit[3] - 1][1]].encode()
-            if part not in ranks:
-                plain, coders = _coders()
-                size = len(plain.compress(part))
-                gain = {name: (size - len(coder.compress(part))) / size for name, coder in coders.items()}
-                ranks[part] = gain, sorted(gain, key=lambda n: (-gain[n], n))
-            gain, order = ranks[part]
-            return gain[fit[4]], order.index(fit[4])
-
-        for fit in sorted(fits, key=lambda f: (*f[:2], rank(f)[1], *f[2:4])):
-            start, stop = fit[2:4]
+    ranks, out = {}, []
+
+    def ranking(start, stop):
+        part = text[spans[start][0] : spans[stop - 1][1]].encode()
+        if part not in ranks:
+            plain, coders = _coders()
+            size = len(plain.compress(part))
+            gain = {name: (size - len(coder.compress(part))) / size for name, coder in coders.items()}
+            ranks[part] = gain, {n: k for k, n in enumerate(sorted(gain, key=lambda n: (-gain[n], n)))}
+        return ranks[part]
+
+    def place(start):
+        return len(text[: spans[start][0]].encode())
+
+    for m in SPDX.finditer(text):
+        inside = [k for k, (i, j) in enumerate(spans) if i < m.end() and j > m.start()]
+        gain, order = ranking(inside[0], inside[-1] + 1)
+        name = " ".join(m[1].split()).rstrip(".")
+        best = min(order, key=order.get)
+        out.append((place(inside[0]), name, gain[best], [], [], order.get(name, order[best])))
+        ids[inside] = -1
+    while True:
+        confirmed = []
+        for fit in _fits(ids):
+            if not _told_apart(fit[5], [words[j] for j in fit[6]]):
+                gain, order = ranking(fit[2], fit[3])
+                if order[fit[4]] < WINNERS:
+                    confirmed.append((order[fit[4]], *fit[:4], gain[fit[4]], fit))
+        confirmed = [f for f in confirmed if (ids[f[3] : f[4]] >= 0).all()]
+        if not confirmed:
+            break
+        confirmed.sort(key=lambda f: f[:5])
+        free = ids >= 0
+        for rank, cost, _, start, stop, gain, fit in confirmed:
             if free[start:stop].all():
                 free[start:stop] = False
-                gain, place = rank(fit)
-                at = len(text[: spans[start][0]].encode())
-                out.append((at, fit[4], gain, fit[5], [words[j] for j in fit[6]], place))
+                same = {f[6][4] for f in confirmed if f[3:5] == (start, stop) and f[6][5:] == fit[5:]}
+                out.append((place(start), " / ".join(sorted(same)), gain, fit[5], [words[j] for j in fit[6]], rank))
         ids = np.where(free, ids, -1)
-    return sorted(out, key=lambda n: n[0])
+    licensed = any(n[1] != "proprietary" for n in out)
+    return sorted((n for n in out if n[1] != "proprietary" or not licensed), key=lambda n: n[0])
 
 
 def scan(docs, id_col="doc_id", text_col="text"):
