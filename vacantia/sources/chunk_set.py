@@ -11,12 +11,13 @@ Paths are opened with pyarrow's file systems (local or shared folders, hdfs, s3,
 import gzip
 import json
 import os
+import sys
 import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -213,3 +214,7 @@ class ChunkSet(DataSource):
 def register(spark):
     spark.dataSource.register(ChunkSet)
     return spark
+
+
+# the classes travel with the job, so that workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,8 +6,10 @@ rebuilds the state from the latter.
 """
 
 import datetime as dt
+import sys
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -145,7 +147,7 @@ def keyed_status_stream(events, log, checkpoint, toggle=False):
 
     A null status deletes. Rows without a key count nowhere.
     """
-    stamped = events.filter("key IS NOT NULL").select("key", "status", F.unix_micros("ts").alias("micros"), "event_id")
+    stamped = events.filter("key IS NOT NULL").select("key", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
     changes = stamped.groupBy("key").transformWithState(StatusProcessor(toggle), STATUS_CHANGE, "Append", "None")
     return _logged(_with_ts(changes), log, checkpoint)
 
@@ -184,3 +186,7 @@ def last_changes(log):
     """The seen state a log of changes ends in."""
     order = [F.col("last_seen"), F.col("change") == "gone", F.col("first_seen")]
     return last_per_group(log, ["job_id"], order).filter("change <> 'gone'").drop("change")
+
+
+# the processors travel with the job, so that workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
