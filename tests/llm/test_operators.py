@@ -505,10 +505,42 @@ def test_passages_at_the_least_likeness(n):
         a, b = words_array(fresh(60) + base + fresh(60)), words_array(fresh(70) + copy + fresh(50))
         shared = np.isin(passages.seeds(a), passages.seeds(b))
         assert not plain or len(passages.dense(shared, 50, 80)) >= passages.needed() == 7
-        found[plain] += bool(passages.passages(a, b))
+        got = bool(passages.passages(a, b))
+        two = [passages.seeds(w, 2) for w in (a, b)]
+        assert not got or passages.promising(*two) and passages.promising(*two[::-1])
+        found[plain] += got
     assert found[True] == 100 and found[False] >= 90
 
 
+def test_short_shared_lines_are_not_chained():
+    """A line of 20 words that two texts share, with common words around it, leaves no room for a passage."""
+    rnd = random.Random(3)
+    fresh = lambda k: [f"x{rnd.random()}" for _ in range(k)]
+    line = fresh(20)
+    texts = [[w for x in fresh(60) for w in (x, "of")] + line + [w for x in fresh(60) for w in (x, "the")] for _ in range(2)]
+    a, b = (words_array(t) for t in texts)
+    assert len(passages.dense(np.isin(passages.seeds(a), passages.seeds(b)), 50, 80)) >= passages.needed()
+    assert not passages.promising(passages.seeds(a, 2), passages.seeds(b, 2)) and not passages.passages(a, b)
+    none = passages.seeds(words_array([]), 2)
+    assert not passages.promising(none, passages.seeds(a, 2)) and not passages.promising(passages.seeds(a, 2), none)
+
+
+def test_passage_of_few_seeds(spark):
+    """A passage that says the same four words again and again counts at all its places."""
+    rnd = random.Random(4)
+    rows = [(k, prose(rnd, 80) + " " + "on and on again " * 20 + prose(rnd, 90)) for k in range(3)]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in found} | {r["source_id"] for r in found} == {0, 1, 2}
+
+
+def test_all_pairs_of_a_hot_seed(spark, monkeypatch):
+    """Blocks of holders meet each other once, every pair of holders is there."""
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    rows = [(s, r) for s, n in ((1, 30), (2, 1), (3, 2)) for r in range(n)]
+    got = passages._all_pairs(spark.createDataFrame(rows, "seed bigint, rep bigint")).collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
 def test_passage_held_twice():
     rnd = random.Random(5)
     fresh = lambda k: [f"x{rnd.random()}" for _ in range(k)]
