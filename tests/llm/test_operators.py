@@ -487,6 +487,49 @@ def test_passages_of_documents_between_the_ends(spark):
         assert {k for pair in got for k in pair} == whole
 
 
+def test_passages_of_all_pairs(spark):
+    """Texts of one family meet each other, also where passages connect them through another text."""
+    rnd = random.Random(31)
+    fresh = lambda n: [f"x{rnd.random()}" for _ in range(n)]
+    common, line, rows = fresh(60), fresh(18), {}
+    for family in range(12):
+        base = fresh(55)
+        for _ in range(4):
+            rows[len(rows)] = fresh(40) + line + fresh(30) + base + fresh(40) + (common if family < 2 else [])
+            base = list(base)
+            for k in rnd.sample(range(55), 8):
+                base[k] = fresh(1)[0]
+    hashed = {k: words_array(w) for k, w in rows.items()}
+    want = {(b, a) for a in rows for b in rows if a < b and passages.passages(hashed[a], hashed[b])}
+    assert {(b, a) for b in range(8) for a in range(b)} <= want
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["source_id"]) for r in passages.shared_passages(docs).collect()} == want
+
+
+def test_texts_with_a_passage_have_a_rare_key_in_common():
+    """Of 50 to 130 words with a fifth replaced, however often other texts hold them; a hot line alone sends nothing."""
+    rnd = random.Random(32)
+    fresh = lambda n: [f"x{rnd.random()}" for _ in range(n)]
+    for n in [50, 59, 60, 77, 99, 100, 130]:
+        for _ in range(30):
+            base = fresh(n)
+            copy = list(base)
+            for k in rnd.sample(range(n), n - -(-n * 80 // 100)):
+                copy[k] = fresh(1)[0]
+            hot, keys = fresh(15), []
+            for text in (fresh(90) + hot + base + fresh(rnd.randrange(90)), fresh(rnd.randrange(70)) + copy + fresh(2) + hot + fresh(60)):
+                keys.append(passages.seeds(words_array(text), passages.KEY))
+            common = np.intersect1d(*keys)
+            order = {key: k for k, key in enumerate(rnd.sample(common.tolist(), len(common)), 1)}
+            sent = [{k[p] for p in passages.rarest(np.array([order.get(x, 0) for x in k.tolist()]), 50, 80)} for k in keys]
+            assert sent[0] & sent[1]
+    line = np.zeros(300, np.int64)
+    line[100:117] = np.arange(1, 18)
+    assert not len(passages.rarest(line, 50, 80))
+    line[130] = 1 << 40
+    assert 116 - 100 >= len(passages.rarest(line, 50, 80)) >= 1
+
+
 def words_array(words):
     raw = np.frombuffer(" ".join(words).encode(), np.uint8)
     return passages.word_hashes(raw, np.array([0, len(raw)]))[0]
