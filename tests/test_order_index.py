@@ -69,3 +69,17 @@ def test_company_sets(spark):
     assert sorted(r["n"] for r in companies.skip_dead(rows, dead).collect()) == [3, 4, 5]
     assert key(companies.dead_union(dead, rows.filter("n = 3"))) == [("", "c"), ("L", "a"), ("L", "b")]
     assert companies.company_union(dead, dead).count() == 2
+
+
+def test_ranges_are_cut_inside_a_bounded_number_of_parts(spark, tmp_path, monkeypatch):
+    """The driver samples splitters for the parts, not for every range."""
+    monkeypatch.setattr(order_index, "PARTS", 3)
+    rows = [("same" if k % 2 else f"t{k:04}", k, "mid") for k in range(1000)]
+    path = str(tmp_path / "t")
+    order_index.write_order(spark.createDataFrame(rows, SCHEMA).repartition(4), ["title", "k"], path, rows=50)
+    index = spark.read.schema(order_index.INDEX).parquet(f"{path}/index").orderBy("_range").collect()
+    assert 20 <= len(index) <= 23 and max(r["rows"] for r in index) == 50
+    assert len({r["_range"] // order_index.PART_RANGES for r in index}) <= 3
+    for number in (1, 7, 40):
+        got = order_index.page(spark, path, spark.createDataFrame([], SCHEMA).schema, ["title", "k"], number, 25).collect()
+        assert [tuple(r) for r in got] == sorted(rows)[25 * number - 25 : 25 * number]

@@ -15,18 +15,30 @@ from vacantia import fixed_values as fixed
 
 #: Rows of a range.
 RANGE_ROWS = 1_000_000
+#: Sorted parts of a table at most: the splitters of each are sampled by way of the driver. Ranges are cut inside the parts.
+PARTS = 200
+#: Numbers of ranges that a part may use.
+PART_RANGES = 1 << 22
 INDEX = "_range int, rows bigint, start bigint"
 
 
 def write_order(df, order, path, rows=RANGE_ROWS, stats=None):
     """Store ``df`` in the given order, in ranges of about ``rows`` rows.
 
-    ``order`` should end in columns that identify a row: rows that tie cannot be parted. The
-    table is counted, sampled for its splitters, and shuffled once. ``stats`` (name to
+    ``order`` should end in columns that identify a row. The table is counted, sampled for the
+    splitters of PARTS parts at most, shuffled and sorted once; the ranges are cut from the sorted
+    parts, so what the driver sees does not grow with their number. ``stats`` (name to
     aggregate) go into the index, a value for each range.
     """
     ranges = max(1, math.ceil(df.count() / rows))
-    placed = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    parts = min(ranges, PARTS)
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    if ranges > parts:
+        at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        number = F.spark_partition_id() * F.lit(PART_RANGES) + F.floor(at / rows).cast("int")
+    else:
+        number = F.spark_partition_id()
+    placed = placed.withColumn("_range", number)
     placed.sortWithinPartitions("_range", *order).write.mode("overwrite").partitionBy("_range").parquet(f"{path}/data")
     written = df.sparkSession.read.schema(placed.schema).parquet(f"{path}/data")
     counts = written.groupBy("_range").agg(F.count("*").alias("rows"), *[agg.alias(n) for n, agg in (stats or {}).items()])
