@@ -71,3 +71,9 @@ def test_sketches_of_chunks_unite(spark, tmp_path):
     assert sketches.united(sketches.sketched(df.limit(0))).first()["companies"] == 0
     few = sketches.united(sketches.sketched(df.filter("company IN ('c11', 'c22')"), "part")).first()
     assert few["companies"] == df.filter("company IN ('c11', 'c22')").select("company").distinct().count()
+
+
+def test_a_range_sends_its_trigrams_once(spark):
+    rows = spark.createDataFrame([(0, "abcd")] * 50 + [(1, "abcé"), (1, None), (1, "ab"), (1, "")], "_range int, text string").coalesce(1)
+    got = sorted((r["_range"], r["gram"]) for r in text_index._range_grams(rows).collect())
+    assert got == [(0, "abc"), (0, "bcd"), (1, "abc"), (1, "bcé")]

@@ -1,5 +1,10 @@
 """Search for a substring by an index of trigrams over a stored order."""
 
+import sys
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -11,8 +16,22 @@ INDEX = "gram string, _range int, bucket int"
 
 
 def _grams(text):
-    """The distinct trigrams of a text in lower case, in one pass; none of shorter texts."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+    """The distinct trigrams (of characters) of a text; none of shorter texts."""
+    return {text[k : k + 3] for k in range(len(text) - 2)}
+
+
+def _range_grams(texts):
+    """``_range, gram`` of rows ``_range`` and ``text`` (in lower case): the trigrams of a range once for each batch of rows."""
+    def run(batches):
+        for batch in batches:
+            ranges, grams = [], []
+            for number, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), lambda r: r[0]):
+                found = set().union(*(_grams(t) for _, t in rows if t))
+                ranges += [number] * len(found)
+                grams += found
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(grams, pa.string())], ["_range", "gram"])
+
+    return texts.mapInArrow(run, "_range int, gram string")
 
 
 def _bucket(gram):
@@ -30,18 +49,19 @@ def write_text_index(df, columns, order, path, rows=order_index.RANGE_ROWS):
     schema = StructType([*df.schema.fields, StructField("_range", IntegerType())])
     stored = spark.read.schema(schema).parquet(f"{path}/data")
     texts = stored.select("_range", F.explode(F.array(*columns)).alias("text"))
-    distinct = texts.select("_range", F.explode(_grams(F.col("text"))).alias("gram")).distinct().withColumn("bucket", _bucket(F.col("gram")))
+    distinct = _range_grams(texts.select("_range", F.lower("text"))).distinct().withColumn("bucket", _bucket(F.col("gram")))
     distinct.repartition("bucket").sortWithinPartitions("bucket", "gram", "_range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
 
 
 def candidate_ranges(spark, path, term):
     """Ranges that hold all trigrams of the term; None where the term is too short to tell."""
-    row = spark.range(1).select(_grams(F.lit(term)).alias("g")).select("g", F.transform("g", _bucket).alias("b")).first()
-    if not row["g"]:
+    grams = sorted(_grams(spark.range(1).select(F.lower(F.lit(term))).first()[0]))
+    if not grams:
         return None
+    buckets = spark.range(1).select(F.array(*[_bucket(F.lit(g)) for g in grams])).first()[0]
     index = spark.read.schema(INDEX).parquet(f"{path}/grams")
-    hits = index.filter(F.col("bucket").isin(sorted(set(row["b"]))) & F.col("gram").isin(row["g"]))
-    full = hits.groupBy("_range").agg(F.count("*").alias("n")).filter(F.col("n") == len(row["g"]))
+    hits = index.filter(F.col("bucket").isin(sorted(set(buckets))) & F.col("gram").isin(grams))
+    full = hits.groupBy("_range").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
     return sorted(r["_range"] for r in full.select("_range").collect())
 
 
@@ -55,3 +75,7 @@ def search(spark, path, schema, term, where):
     if ranges is None:
         return spark.read.schema(schema).parquet(f"{path}/data").filter(where)
     return order_index.read_ranges(spark, path, schema, ranges).filter(where)
+
+
+# the function over batches travels with the job, so that workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
