@@ -1,5 +1,6 @@
 """Queries that write files with the sinks, or run a stream, and read the result back."""
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -30,8 +31,16 @@ def folder(spark, name):
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a landed file, about.
+FILE_ROWS = 500_000
+
+
 def land(parts, path, files=4):
-    """Write the parts one after another, the same number of files each, as landing folder."""
+    """Write the parts one after another, the same number of files each, as landing folder.
+
+    There are more than ``files`` where the largest part would have over FILE_ROWS rows a file.
+    """
+    files = max(files, *[math.ceil(part.count() / FILE_ROWS) for part in parts])
     for part in parts:
         part.repartition(files).write.mode("append").parquet(path)
     return files
