@@ -38,9 +38,13 @@ FILE_ROWS = 500_000
 def land(parts, path, files=4):
     """Write the parts one after another, the same number of files each, as landing folder.
 
-    There are more than ``files`` where the largest part would have over FILE_ROWS rows a file.
+    There are more than ``files`` where the largest part would have over FILE_ROWS rows a file and
+    the smallest still has rows for each, as an empty partition leaves no file.
     """
-    files = max(files, *[math.ceil(part.count() / FILE_ROWS) for part in parts])
+    counts = [part.count() for part in parts]
+    more = math.ceil(max(counts) / FILE_ROWS)
+    if min(counts) >= 1000 * more:
+        files = max(files, more)
     for part in parts:
         part.repartition(files).write.mode("append").parquet(path)
     return files
