@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 import re
 import unicodedata
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.functions import classify, dates, display, geo, money, pages, text
@@ -24,6 +26,17 @@ def test_tier_score_counts_each_pattern_once(column):
     assert column(lambda F: classify.tier_score(F.col("x")), ["graduate trainee", "director intern", "nothing"]) == [-25, -50, 0]
 
 
+def test_tier_score_equals_its_patterns(spark):
+    rnd = random.Random(3)
+    words = [w for both in fixed.TIER_WORDS for w in " ".join(both).split()] + ["vice president", "head of", "of", "grad", "3", "5", "é", "İ", "_", "fellow", "it"]
+    ends = [" ", " ", "-", "", ".", ", ", "\u00a0", "–", "\t", "/", "\x85", "1", " - "]
+    titles = [("".join(rnd.choice([str, str.upper])(rnd.choice(words)) + rnd.choice(ends) for _ in range(rnd.randint(0, 5))),) for _ in range(3000)]
+    low = F.lower(F.coalesce("t", F.lit("")))
+    plain = sum((F.when(low.rlike("(?U)" + p), w).otherwise(0) for p, w in fixed.TIER_WEIGHTS), F.lit(0))
+    rows = spark.createDataFrame([*titles, (None,)], "t string").select("t", classify.tier_score(F.col("t")).alias("got"), plain.alias("want"))
+    assert rows.filter("NOT got <=> want").collect() == [] and rows.select("want").distinct().count() > 20
+
+
 def test_recruiter(column):
     got = column(lambda F: classify.is_recruiter(F.col("x")), ["acme-staffing", "researchlabs", "vultr", None])
     assert got == [True, True, False, False]
