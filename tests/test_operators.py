@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from vacantia.functions import classify
 from vacantia.operators import alerts, clean, enrich, facets, joins, merge, order, reports, seen, verify
 from vacantia.plans import jobs as whole_jobs
 from vacantia.plans import sample_tables as sample
@@ -246,3 +247,24 @@ def test_probe_summary(spark):
     assert rows(reports.probe_summary(df), "valid", "dead") == [(1, 2)]
     assert rows(reports.dead_probes(df), "slug") == [("a",), ("c",)]
     assert [r.slug for r in reports.candidate_results(df).collect()] == ["b", "a", "c"]
+
+
+def test_the_tier_is_not_worked_out_to_deal_rows_without_a_key(spark):
+    rows = spark.createDataFrame([(1, "Senior Boss", "a", "u1"), (2, "Boss", "b", None), (3, "Boss", "c", "u3")], "id int, title string, company string, url string")
+    rows = rows.withColumn("skill_level", classify.tier(F.col("title")))
+    statuses = spark.createDataFrame([("u1", "applied"), ("u3", "saved")], "key string, status string")
+    shown = facets.facet_query(rows, statuses, hide_recruiters=False, hide_applied=True).select("id")
+    assert sorted(r["id"] for r in shown.collect()) == [2, 3]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    assert "regexp_extract_all" not in shown._jdf.queryExecution().explainString(mode)
+
+
+def test_page_numbers_out_of_range(spark, monkeypatch):
+    rows = spark.range(25).repartition(4)
+    for early in (facets.EARLY_ROWS, 5):
+        monkeypatch.setattr(facets, "EARLY_ROWS", early)
+        got = {n: [r["id"] for r in facets.page(rows, ["id"], n, 10).collect()] for n in (-1, 0, 1, 2, 3, 4, 9)}
+        first = list(range(10))
+        assert got == {-1: first, 0: first, 1: first, 2: list(range(10, 20)), 3: list(range(20, 25)), 4: first, 9: first}
+        assert facets.page(rows.filter("id < 20"), ["id"], 3, 10).first()["id"] == 0
+        assert facets.page(rows.limit(0), ["id"], 3, 10).collect() == []

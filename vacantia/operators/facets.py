@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
-from vacantia.functions.classify import is_real_company
+from vacantia.functions.classify import CLASSES, is_real_company
 from vacantia.functions.display import coordinate_key, jitter
 from vacantia.functions.text import first_non_empty, quote
 from vacantia.operators.joins import first_per_group, last_per_group, lookup_join
@@ -68,21 +68,22 @@ def facet_any_term(column, text):
 def with_status(df, statuses, on="url"):
     """Left join of the one status per key; '' where there is none."""
     known = statuses.select(F.col("key").alias(on), F.col("status"))
-    return lookup_join(df, known, on).withColumn("status", F.coalesce("status", F.lit("")))
+    return lookup_join(df, known, on, implied=CLASSES).withColumn("status", F.coalesce("status", F.lit("")))
 
 
 def facet_query(
     df, statuses=None, *, hide_recruiters=True, remote_only=False, hide_applied=False, title="",
     company="", location="", salary_min=0, status="", ats="", skill_level="", exclude="", include="",
 ):
-    """Conjunction of the facets that are set; facets left alone add no predicate."""
+    """Conjunction of the facets that are set; facets left alone add no predicate.
+
+    The tier is asked last, as it may have to be worked out from the title.
+    """
     rows = df
     if hide_recruiters:
         rows = rows.filter(~F.coalesce(F.col("is_recruiter"), F.lit(False)))
     if ats:
         rows = rows.filter(facet_equal("ats", ats))
-    if skill_level:
-        rows = rows.filter(facet_equal("skill_level", skill_level))
     if salary_min > 0:
         rows = rows.filter(facet_salary(salary_min))
     if remote_only:
@@ -94,6 +95,8 @@ def facet_query(
     for term, column in ((title, F.col("title")), (company, company_of(df)), (location, listed_location(df))):
         if term.strip():
             rows = rows.filter(facet_text(column, term))
+    if skill_level:
+        rows = rows.filter(facet_equal("skill_level", skill_level))
     if status or hide_applied:
         rows = with_status(rows, statuses)
         if hide_applied:
@@ -141,12 +144,21 @@ def page_count(rows, size):
     return math.ceil(rows / size)
 
 
+#: Rows that a task may look for to tell whether a page exists.
+EARLY_ROWS = 10_000
+
+
 def page(df, order, number=1, size=fixed.PAGE_SIZES[0]):
-    """One page of the ordered table; a page number out of range falls back to 1."""
-    pages = page_count(df.count(), size)
-    if number < 1 or number > pages > 0:
-        number = 1
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    """One page of the ordered table; a page number out of range falls back to 1.
+
+    Whether an early page exists is known once the rows before it and one more are found.
+    """
+    before = max(number - 1, 0) * size
+    if before:
+        rows = df.limit(before + 1) if before <= EARLY_ROWS else df
+        if rows.count() <= before:
+            before = 0
+    return df.orderBy(*order).offset(before).limit(size)
 
 
 def board_stats(df):
