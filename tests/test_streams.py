@@ -203,3 +203,50 @@ def test_keyed_status_equals_the_rewritten_one(spark, tmp_path):
         for key, status, _ in events:
             want[key] = None if toggle and want.get(key) == status else status
         assert got == {k: s for k, s in want.items() if s is not None}
+
+
+class Calls:
+    """One job's state and timers, counting the calls that go out of Python."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls, self.now = None, set(), 0, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_sighting_leaves_the_timer_alone():
+    job = Calls()
+    processor = keyed.SeenProcessor(8)
+    processor.init(job)
+    changes, spent = [], []
+    for day, seen in [(1, True), (6, True), (13, True), (20, False), (24, False), (30, True)]:
+        before = job.calls
+        today = dt.date(1970, 1, 1) + dt.timedelta(day)
+        if seen:
+            changes += [(day, r["change"]) for r in processor.handleInputRows(("a",), iter([{"day": today}]), job)]
+        spent.append(job.calls - before)
+        job.now = day * keyed.DAY_MS
+        for timer in sorted(t for t in job.timers if t <= job.now):
+            job.timers.remove(timer)
+            changes += [(day, r["change"]) for r in processor.handleExpiredTimer(("a",), job, None)]
+        assert len(job.timers) == (job.value is not None)
+    assert changes == [(1, "new"), (6, "seen"), (13, "seen"), (24, "gone"), (30, "new")]
+    assert spent == [3, 2, 2, 0, 0, 3]

@@ -46,7 +46,11 @@ def _millis(day):
 
 
 class SeenProcessor(StatefulProcessor):
-    """First and last sighting of one job, with a timer that every sighting sets anew."""
+    """First and last sighting of one job, and a timer for as long as it is known.
+
+    Every call to the state is a round trip out of Python, so a sighting reads and writes the state and leaves
+    the timer alone; a timer that runs out after a later sighting is set anew to the day that follows from it.
+    """
 
     def __init__(self, days):
         self.days = days
@@ -59,30 +63,31 @@ class SeenProcessor(StatefulProcessor):
         # at noon of the last day that keeps the job; runs move the watermark from midnight to midnight
         return _millis(last_seen) + self.days * DAY_MS + DAY_MS // 2
 
-    def _keep(self, first_seen, last_seen, before=None):
-        if before is not None:
-            self.handle.deleteTimer(self._timer(before))
-        self.seen.update((first_seen, last_seen))
-        self.handle.registerTimer(self._timer(last_seen))
-
     def handleInputRows(self, key, rows, timerValues):
         today = max(row["day"] for row in rows)
-        old = self.seen.get() if self.seen.exists() else None
+        old = self.seen.get()
         # the watermark is the last run's day: what that run would have dropped has only not been swept yet
         known = old is not None and self._timer(old[1]) >= timerValues.getCurrentWatermarkInMs()
         if old is not None and not known:
             yield Row(job_id=key[0], first_seen=old[0], last_seen=old[1], change="gone")
         first = old[0] if known else today
-        self._keep(first, today, old[1] if old else None)
+        self.seen.update((first, today))
+        if old is None:
+            self.handle.registerTimer(self._timer(today))
         yield Row(job_id=key[0], first_seen=first, last_seen=today, change="seen" if known else "new")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         old = self.seen.get()
+        due = self._timer(old[1])
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            return
         self.seen.clear()
         yield Row(job_id=key[0], first_seen=old[0], last_seen=old[1], change="gone")
 
     def handleInitialState(self, key, initialState, timerValues):
-        self._keep(initialState["first_seen"], initialState["last_seen"])
+        self.seen.update((initialState["first_seen"], initialState["last_seen"]))
+        self.handle.registerTimer(self._timer(initialState["last_seen"]))
 
     def close(self):
         pass
