@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -568,6 +569,45 @@ def test_short_shared_lines_are_not_chained():
     assert not passages.promising(none, passages.seeds(a, 2)) and not passages.promising(passages.seeds(a, 2), none)
 
 
+def test_words_said_very_often_are_not_chained(monkeypatch):
+    """A text that says one word 3,000 times shares no passage with one that says it 20 times, here and there."""
+    rnd = random.Random(6)
+    fresh = lambda k: [f"x{rnd.random()}" for _ in range(k)]
+    often = words_array(fresh(40) + ["on"] * 3000 + fresh(40))
+    rare = words_array([w for _ in range(3) for w in fresh(60) + ["on"] * 20])
+    monkeypatch.setattr(passages, "chain", None)
+    assert passages.passages(often, rare) == passages.passages(rare, often) == []
+
+
+def test_every_passage_has_room():
+    """The test by words counted as often as held loses nothing in texts full of repeats."""
+    rnd = random.Random(8)
+    found = 0
+    for turn in range(300):
+        some = lambda n, k=rnd.choice([2, 4, 12]): [f"w{w}" for w in rnd.choices(range(k), k=n) for _ in range(rnd.choice([1, 2, 7, 20, 45]))]
+        base = some(rnd.randrange(1, 30))
+        copy = [w for w in base for w in ([] if rnd.random() < 0.05 else [w, "new"] if rnd.random() < 0.05 else [w])]
+        a, b = words_array(some(4) + base + some(6)), words_array(some(7) + copy + some(3))
+        room = [passages.roomy(u, np.sort(v)) for u, v in ((a, b), (b, a))]
+        x, y = passages.matches(passages.seeds(a), passages.seeds(b))
+        if len(x) and passages.passages(a, b):
+            assert all(room)
+            found += 1
+    assert found > 100
+    none = words_array([])
+    assert not passages.roomy(none, np.sort(a)) and not passages.roomy(a, none)
+
+
+def test_packed_texts_kept_by_a_task(monkeypatch):
+    monkeypatch.setattr(passages, "KNOWN", 100)
+    known = passages._Known()
+    pack = zstandard.ZstdCompressor().compress
+    packed = [pack(" ".join(f"w{k}" for k in range(n)).encode()) for n in (60, 70, 30, 200, 10)]
+    for turn in packed * 2:
+        assert len(known[turn][0]) == len(passages._words([turn])[0])
+        assert known.held == sum(len(k[0]) for k in known.values()) and (known.held <= 100 or len(known) == 1)
+
+
 def test_passage_of_few_seeds(spark):
     """A passage that says the same four words again and again counts at all its places."""
     rnd = random.Random(4)
