@@ -507,6 +507,20 @@ def test_passages_of_all_pairs(spark):
     assert {(r["doc_id"], r["source_id"]) for r in passages.shared_passages(docs).collect()} == want
 
 
+@pytest.mark.parametrize("cell", [1, 20, 4000])
+def test_pairs_in_cells(spark, monkeypatch, cell):
+    """A text with very many partners, and every other pair, is compared once, in cells of any size."""
+    monkeypatch.setattr(passages, "CELL", cell)
+    monkeypatch.setattr(passages, "TASKS", 7)
+    rnd = random.Random(33)
+    fresh = lambda n: [f"x{rnd.random()}" for _ in range(n)]
+    own = [fresh(52) for _ in range(20)]
+    rows = [(0, sum(own, [])), *[(k + 1, fresh(9) + part + fresh(9)) for k, part in enumerate(own)], (30, fresh(5) + own[4] + fresh(5))]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows] + [(31, None), (None, " ".join(own[0]))], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["source_id"], r["n_words"]) for r in passages.shared_passages(docs).collect())
+    assert got == sorted([(k, 0, 52) for k in [*range(1, 21), 30]] + [(30, 5, 52)])
+
+
 def test_texts_with_a_passage_have_a_rare_key_in_common():
     """Of 50 to 130 words with a fifth replaced, however often other texts hold them; a hot line alone sends nothing."""
     rnd = random.Random(32)
