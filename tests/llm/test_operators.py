@@ -593,6 +593,49 @@ def test_words_said_very_often_are_not_chained(monkeypatch):
     assert passages.passages(often, rare) == passages.passages(rare, often) == []
 
 
+def plain_growth(a, b):
+    """From the start of both lists: every way to leave words out is counted out at each difference."""
+    out, p, q, score, best, end = [], 0, 0, 0, 0, 0
+    while p < len(a) and q < len(b) and best - score <= passages.DROP:
+        if a[p] == b[q]:
+            out.append((True, p, q))
+            p, q, score, end = p + 1, q + 1, score + 1, len(out)
+            best = max(best, score)
+            continue
+        ways = []
+        for d, e, wide in passages.SKIPS:
+            run = 0
+            while run < 9 and p + d + run < len(a) and q + e + run < len(b) and a[p + d + run] == b[q + e + run]:
+                run += 1
+            if run or not ways:
+                ways.append((4 * wide - run, len(ways), d, e))
+        *_, d, e = min(ways)
+        out += [(False, p + min(k, d), q + min(k, e)) for k in range(max(d, e))]
+        p, q, score = p + d, q + e, score - 4 * max(d, e)
+    return out[:end]
+
+
+def test_growth_takes_the_plain_way():
+    rnd = random.Random(9)
+    grown = 0
+    for turn in range(2000):
+        k = rnd.choice([2, 3, 9, 60])
+        a = [w for w in rnd.choices(range(k), k=rnd.randrange(30)) for _ in range(rnd.choice([1, 1, 3, 15]))]
+        b = [w for w in a for w in ([] if rnd.random() < 0.1 else [w, -1] if rnd.random() < 0.1 else [rnd.choice([w, w, w, w, k])])]
+        b = rnd.choices(range(k), k=rnd.randrange(3)) + b
+        want = plain_growth(a, b)
+        assert passages._grow(a, b, 0, 0, 1) == want
+        back = [(m, len(a) - 1 - x, len(b) - 1 - y) for m, x, y in want]
+        assert passages._grow(a[::-1], b[::-1], len(a) - 1, len(b) - 1, -1) == back
+        grown += len(want) > 20
+    assert grown > 200
+
+
+def test_growth_ends_where_no_word_is_common(monkeypatch):
+    monkeypatch.setattr(passages, "SKIPS", None)
+    assert passages._grow([1] * 90, [2] * 90, 0, 0, 1) == passages._grow([1] * 90, [2] * 90, 89, 89, -1) == []
+
+
 def test_every_passage_has_room():
     """The test by words counted as often as held loses nothing in texts full of repeats."""
     rnd = random.Random(8)
