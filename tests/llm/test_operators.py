@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -681,6 +682,57 @@ def test_all_pairs_of_a_hot_seed(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
 
 
+def test_pairs_are_neither_shuffled_nor_stored(spark):
+    """Texts meet where their blocks are read: the disk holds each text once, however many pairs there are."""
+    rnd = random.Random(34)
+    fresh = lambda n: [f"x{rnd.random()}" for _ in range(n)]
+    common = fresh(60)
+    docs = spark.createDataFrame([(k, " ".join(fresh(20) + common + fresh(20))) for k in range(40)], "doc_id bigint, text string")
+    found = passages.shared_passages(docs)
+    assert found.filter("not is_copy").count() == 40 * 39 // 2
+    plan = found.filter("not is_copy")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan.split("CartesianProduct")[0]
+    held = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before = held()
+    kept, _ = passages._kept(spark.range(1000).repartition(7, "id"))
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and kept.count() == 1000
+
+
+@pytest.mark.parametrize("cell", [1, 3, 4096])
+def test_texts_of_one_id(spark, monkeypatch, cell):
+    """Different texts of one id are compared like others; rows that two of them give alike come once."""
+    monkeypatch.setattr(passages, "CELL", cell)
+    rnd = random.Random(35)
+    fresh = lambda n: [f"x{rnd.random()}" for _ in range(n)]
+    one, two = fresh(60), fresh(60)
+    rows = [(5, one + fresh(30)), (5, one + fresh(40)), (7, one + fresh(20)), (8, two), (9, two + fresh(5))]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["source_id"], r["n_words"]) for r in passages.shared_passages(docs).collect())
+    assert got == [(5, 0, 60, 5, 60), (7, 0, 60, 5, 60), (9, 0, 60, 8, 60)]
+
+
+def test_texts_of_two_blocks_that_meet(spark, monkeypatch):
+    """The pairs that cells find, a few meetings of keys at a time, are those of the holders of every key."""
+    monkeypatch.setattr(passages, "MEETINGS", 7)
+    rnd = random.Random(36)
+    held = [[(rep, np.array(sorted({rnd.choice((1, rnd.randrange(2, 40))) for _ in range(rnd.randrange(1, 9))}), np.uint64)) for rep in range(low, low + 15)] for low in (0, 15)]
+    sides = []
+    for texts_of in held:
+        block = passages._Block()
+        for rep, keys in texts_of:
+            block.add({"rep": rep, "first_id": rep, "packed": b"%d" % rep}, False, keys)
+        sides.append(passages._Side(*[block.row().column(n)[0].as_py() for n in block.names]))
+    assert [sides[1].text(k) for k in range(15)] == [b"%d" % (15 + k) for k in range(15)]
+    rows = [(int(key), rep) for texts_of in held for rep, keys in texts_of for key in keys]
+    want = sorted(map(tuple, passages._all_pairs(spark.createDataFrame(rows, "seed bigint, rep bigint")).collect()))
+    got = [(int(i) + a, int(j) + b) for a, b in ((0, 0), (0, 15), (15, 15)) for i, j in zip(*passages._met(sides[a // 15], sides[b // 15])) if a != b or i < j]
+    assert sorted(got) == want
+
+
 def test_passage_held_twice():
     rnd = random.Random(5)
     fresh = lambda k: [f"x{rnd.random()}" for _ in range(k)]
