@@ -87,6 +87,31 @@ def test_chunks_are_planned_one_by_one(spark, tmp_path):
     assert rows.count() == 40
 
 
+def test_many_chunks_are_read_several_at_a_time(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "set")
+    sinks.write_chunks(some_jobs(spark, [f"a{k}" for k in range(400)]), folder, "1", rows=2)
+    rows = sources.read_chunks(spark, folder)
+    assert rows.rdd.getNumPartitions() == 50 and published(spark, folder) == sorted(f"a{k}" for k in range(400))
+    # a task takes no more chunks once it has rows enough, and no task is without chunks
+    monkeypatch.setattr(chunk_set, "PART_ROWS", 5)
+    parts = chunk_set.ChunkReader(folder).partitions()
+    assert [len(p.named) for p in parts] == [3] * 66 + [2]
+    monkeypatch.setattr(chunk_set, "LEAST_PARTS", 1000)
+    assert [len(p.named) for p in chunk_set.ChunkReader(folder).partitions()] == [1] * 200
+    # lists that do not tell the rows, as other publishers write them
+    put(tmp_path / "jobs_manifest.json", {"chunks": [f"jobs_chunk_{k}.json.gz" for k in range(9)]})
+    assert [len(p.named) for p in chunk_set.ChunkReader(str(tmp_path)).partitions()] == [1] * 9
+    assert chunk_set.ChunkReader(str(tmp_path / "nowhere")).partitions() == [chunk_set.Chunks([])]
+
+
+def test_rows_of_chunks_are_worked_out_once(spark, tmp_path):
+    """The sort goes over its input twice: to find the ranges, then to deal the rows out."""
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(f"t{k}", "c", "u") for k in range(60)], 3).map(lambda row: (read.add(1), row)[1])
+    sinks.write_chunks(spark.createDataFrame(rows, "title string, company string, url string"), str(tmp_path / "set"), "1", rows=7)
+    assert read.value == 60 and len(published(spark, str(tmp_path / "set"))) == 60
+
+
 def test_scratch_tables_of_chunks_go(spark, tmp_path):
     from vacantia.session import checkpoint_dir
 

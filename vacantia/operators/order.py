@@ -7,25 +7,32 @@ from vacantia import fixed_values as fixed
 from vacantia.session import scratch_path
 
 
-def canonical_order():
+def canonical_keys():
     """Company, then title, in lower case; the url settles ties."""
     empty = F.lit("")
-    return [
-        F.lower(F.coalesce("company", empty)).asc(), F.lower(F.coalesce("title", empty)).asc(),
-        F.coalesce("url", empty).asc(),
-    ]
+    return [F.lower(F.coalesce("company", empty)), F.lower(F.coalesce("title", empty)), F.coalesce("url", empty)]
+
+
+def canonical_order():
+    return [key.asc() for key in canonical_keys()]
 
 
 def jobs_db_order():
     return [F.col("first_seen").desc_nulls_last(), F.lower("company").desc(), F.col("job_id").asc()]
 
 
-def with_row_numbers(df, order, folder=None):
+def with_row_numbers(df, order, folder=None, keys=None):
     """Add ``row_number`` (from 0) in the given order without a single-task window.
 
-    The table is range-partitioned and sorted once, then numbered by ``number_rows``.
+    The table is range-partitioned and sorted once, then numbered by ``number_rows``. ``keys`` are the
+    expressions of an order that ascends in all: a sort works its expressions out at every comparison, so
+    they become columns first.
     """
-    return number_rows(df.repartitionByRange(*order).sortWithinPartitions(*order), folder)
+    ranged = df.repartitionByRange(*order)
+    if keys:
+        named = {f"_key{k}": key for k, key in enumerate(keys)}
+        return number_rows(ranged.withColumns(named).sortWithinPartitions(*named).drop(*named), folder)
+    return number_rows(ranged.sortWithinPartitions(*order), folder)
 
 
 def number_rows(df, folder=None):
@@ -54,7 +61,7 @@ def number_rows(df, folder=None):
     )
 
 
-def with_chunks(df, order, rows=fixed.CHUNK_ROWS, folder=None):
+def with_chunks(df, order, rows=fixed.CHUNK_ROWS, folder=None, keys=None):
     """Add ``chunk``: rows 0..rows-1 in chunk 0 and so on."""
-    numbered = with_row_numbers(df, order, folder)
+    numbered = with_row_numbers(df, order, folder, keys)
     return numbered.withColumn("chunk", F.floor(F.col("row_number") / rows).cast("bigint"))

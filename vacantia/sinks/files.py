@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as fixed
 from vacantia.functions.display import published_at, rfc822
-from vacantia.operators.order import canonical_order, jobs_db_order, with_chunks
+from vacantia.operators.order import canonical_keys, canonical_order, jobs_db_order, with_chunks
 from vacantia.schemas import SLIM_COLUMNS, SLIM_TYPES
 from vacantia.session import drop_path, scratch_path
 from vacantia.sources import chunk_set
@@ -25,24 +25,28 @@ def with_initial(salaries):
 def write_chunks(postings, folder, last_updated, rows=fixed.CHUNK_ROWS):
     """Sorted slim postings as gzip JSON arrays of ``rows`` rows, then the manifest that names them.
 
-    The rows are sorted once into a scratch table, which gives them their numbers, and dealt
-    out by chunk. The new set lies beside the published one until all its chunks are
+    The rows are stored as they come, as a sort goes over its input twice, and sorted once into
+    a scratch table, which gives them their numbers, and dealt out by chunk. The new set lies beside the published one until all its chunks are
     written; the manifest then changes over in one step (``sources.chunk_set``), so a run that
     fails leaves the old set as it was. Returns the manifest: chunks, totalJobs, last_updated.
     """
     spark = chunk_set.register(postings.sparkSession)
-    scratch = scratch_path(spark, "numbered")
-    numbered = with_chunks(slim(postings), canonical_order(), rows, scratch)
+    came, scratch = scratch_path(spark, "slim"), scratch_path(spark, "numbered")
     fields = [
         F.when(F.col("coords").isNotNull(), F.array("coords.lat", "coords.lng")).alias("coords") if n == "coords" else F.col(n)
         for n in SLIM_COLUMNS
     ]
-    lines = numbered.select("chunk", "row_number", F.to_json(F.struct(*fields)).alias("line"))
     try:
+        postings = slim(postings)
+        postings.write.parquet(came)
+        numbered = with_chunks(spark.read.schema(postings.schema).parquet(came), canonical_order(), rows, scratch, canonical_keys())
+        drop_path(spark, came)
+        lines = numbered.select("chunk", "row_number", F.to_json(F.struct(*fields)).alias("line"))
         dealt = lines.repartition("chunk").sortWithinPartitions("chunk", "row_number").select("chunk", "line")
         dealt.write.format(chunk_set.FORMAT).mode("overwrite").option("last_updated", last_updated).save(folder)
     finally:
-        drop_path(spark, scratch)
+        for path in (came, scratch):
+            drop_path(spark, path)
     return read_manifest(spark, folder)
 
 

@@ -14,6 +14,8 @@ import os
 import sys
 import uuid
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -30,6 +32,8 @@ FORMAT = "job_chunks"
 MANIFEST_NAME = "jobs_manifest.json"
 NAMES = "names.jsonl"
 SCHEMA = "chunk string, value string"
+#: Rows that a reading task takes at least, where that leaves so many tasks, and rows of a chunk whose list does not tell.
+PART_ROWS, LEAST_PARTS, USUAL_ROWS = 100_000, 64, 25_000
 
 
 def opened(path):
@@ -68,40 +72,49 @@ def manifest_of(folder):
 
 
 def named_chunks(folder):
-    """(name, path below the folder) of every chunk that the manifest names."""
+    """(name, path below the folder, rows where they are known) of every chunk that the manifest names."""
     fs, root = opened(folder)
     manifest = manifest_of(folder)
     for name in manifest.get("chunks") or []:
-        yield name, name
+        yield name, name, None
     for names in manifest.get("lists") or []:
         for line in _read(fs, f"{root}/{names}").splitlines():
             row = json.loads(line)
-            yield row["name"], row["path"]
+            yield row["name"], row["path"], row.get("rows")
 
 
 @dataclass
-class Chunk(InputPartition):
-    name: str
-    path: str
+class Chunks(InputPartition):
+    named: list
 
 
 class ChunkReader(DataSourceReader):
-    """One partition for each chunk the manifest names; an absent chunk has no rows."""
+    """Partitions of chunks that the manifest names, one each or as many as have enough rows; an absent chunk has no rows."""
 
     def __init__(self, folder):
         self.folder = folder
 
     def partitions(self):
-        return [Chunk(name, path) for name, path in named_chunks(self.folder)] or [Chunk("", "")]
+        named = [(name, path, USUAL_ROWS if rows is None else rows) for name, path, rows in named_chunks(self.folder)]
+        enough = min(PART_ROWS, sum(rows for *_, rows in named) / LEAST_PARTS)
+        parts, held = [], enough
+        for name, path, rows in named:
+            if held >= enough:
+                parts.append(Chunks([]))
+                held = 0
+            parts[-1].named.append((name, path))
+            held += rows
+        return parts or [Chunks([])]
 
     def read(self, partition):
         fs, root = opened(self.folder)
-        path = next((p for p in (f"{root}/{partition.path}", f"{root}/name={partition.path}") if partition.path and _kind(fs, p) != pafs.FileType.NotFound), None)
-        if path is None:
-            return
-        raw = _read(fs, _only_file(fs, path))
-        text = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-        yield pa.RecordBatch.from_arrays([pa.array([partition.name]), pa.array([text.decode()])], ["chunk", "value"])
+        for name, below in partition.named:
+            path = next((p for p in (f"{root}/{below}", f"{root}/name={below}") if below and _kind(fs, p) != pafs.FileType.NotFound), None)
+            if path is None:
+                continue
+            raw = _read(fs, _only_file(fs, path))
+            text = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text.decode()])], ["chunk", "value"])
 
 
 @dataclass
@@ -133,7 +146,8 @@ class ChunkWriter(DataSourceArrowWriter):
 
         try:
             for batch in iterator:
-                for number, line in zip(batch["chunk"].to_pylist(), batch["line"].to_pylist()):
+                for number, rows in groupby(zip(batch["chunk"].to_pylist(), batch["line"].cast(pa.binary()).to_pylist()), itemgetter(0)):
+                    lines = [line for _, line in rows]
                     name = f"jobs_chunk_{number}.json.gz"
                     if not written or written[-1]["name"] != name:
                         if file:
@@ -143,11 +157,10 @@ class ChunkWriter(DataSourceArrowWriter):
                         fs.create_dir(f"{root}/{below}", recursive=True)
                         written.append({"name": name, "path": f"{below}/{name}", "rows": 0})
                         file = gzip.GzipFile(fileobj=fs.open_output_stream(f"{root}/{below}/{name}", compression=None), mode="wb", mtime=0)
-                        file.write(b"[")
+                        file.write(b"[" + b",\n".join(lines))
                     else:
-                        file.write(b",\n")
-                    file.write(line.encode())
-                    written[-1]["rows"] += 1
+                        file.write(b",\n" + b",\n".join(lines))
+                    written[-1]["rows"] += len(lines)
             if file:
                 close()
         finally:
